@@ -19,7 +19,7 @@ AGE_SECONDS = {
 
 
 def _one_decimal(n: Column, unit: int, exp: int) -> Column:
-    return F.format_number(n.cast("double") / F.lit(float(unit**exp)), "0.0")
+    return F.call_function("format_number", n.cast("double") / F.lit(float(unit**exp)), F.lit("0.0"))
 
 
 def _scaled(n: Column, unit: int, small: Column, label) -> Column:

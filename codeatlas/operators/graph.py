@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, paths
-from ..storage import stage
+from ..storage import checkpoint, small, stage
 from .ranking import number_rows
 
 # A node with more neighbours than this is split into several join keys.
@@ -71,27 +71,20 @@ def neighbours(edges: DataFrame, files: DataFrame, reverse: bool, fixtures: Data
     join keys; the neighbour's own number of keys comes along for the next level.
     """
     here, there = ("dst", "src") if reverse else ("src", "dst")
-    links = edges.select("repo", F.col(here).alias("node"), F.col(there).alias("next"), F.lit(False).alias("fixture"))
+    links = edges.selectExpr("repo", f"{here} as node", f"{there} as next", "false as fixture")
     if reverse and fixtures is not None:
-        extra = fixtures.select("repo", F.col("dst").alias("node"), F.col("src").alias("next"), F.lit(True).alias("fixture"))
-        links = links.unionByName(extra)
-    keys = F.ceil(F.col("n") / NEIGHBOURS_PER_KEY).cast("int")
+        links = links.unionByName(fixtures.selectExpr("repo", "dst as node", "src as next", "true as fixture"))
     # Only nodes over the bound are listed: at most edges / NEIGHBOURS_PER_KEY rows.
     split = (
-        links.groupBy("repo", "node").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > NEIGHBOURS_PER_KEY).select("repo", "node", keys.alias("keys"))
+        links.groupBy("repo", "node").agg(F.expr("count(1) as n")).where(f"n > {NEIGHBOURS_PER_KEY}")
+        .selectExpr("repo", "node", f"cast(ceil(n / {NEIGHBOURS_PER_KEY}) as int) as keys")
     )
-    about = (
-        files.select("repo", F.col("id").alias("next"), F.col("rel").alias("next_rel"), F.col("is_test").alias("next_test"))
-        .join(split.select("repo", F.col("node").alias("next"), F.col("keys").alias("next_keys")), ["repo", "next"], "left")
+    about = files.selectExpr("repo", "id as next", "rel as next_rel", "is_test as next_test").join(
+        split.selectExpr("repo", "node as next", "keys as next_keys"), ["repo", "next"], "left"
     )
-    spread = F.pmod(F.xxhash64("next"), F.coalesce("keys", F.lit(1))).cast("int")
-    laid_out = (
-        links.join(about, ["repo", "next"]).join(split, ["repo", "node"], "left")
-        .select(
-            "repo", "node", spread.alias("key"), "next", "next_rel", "next_test",
-            F.coalesce("next_keys", F.lit(1)).alias("next_keys"), "fixture",
-        )
+    laid_out = links.join(about, ["repo", "next"]).join(split, ["repo", "node"], "left").selectExpr(
+        "repo", "node", "cast(pmod(xxhash64(next), coalesce(keys, 1)) as int) as key", "next", "next_rel", "next_test",
+        "coalesce(next_keys, 1) as next_keys", "fixture",
     )
     return stage(laid_out, "neighbours")[0]
 
@@ -114,81 +107,95 @@ def reach(
     ``parents`` adds ``parent_id``, ``parent_rel`` (the earliest reached neighbour that led there)
     and ``via`` (the same, from the second hop on).
 
-    Each level is one written table: frontier joined to neighbours, reduced to one row per file,
-    minus what was seen. The frontier's real size decides between broadcast and shuffle.
+    Each level is one checkpointed step: frontier joined to neighbours, reduced to one row per
+    file, minus what was seen. The measured size decides between broadcast and shuffle.
     """
     links = neighbours(edges, files, reverse, fixtures)
     if no_tests:
-        links = links.where(~F.col("next_test"))
-    seeds = starts.join(files.select("repo", "id", "rel", "is_test"), ["repo", "id"])
-    fan_out = (
-        links.withColumnRenamed("node", "id").join(starts.select("repo", "id").distinct(), ["repo", "id"], "left_semi")
-        .groupBy("repo", "id").agg((F.max("key") + 1).alias("keys"))
-    )
-    seeds = seeds.join(fan_out, ["repo", "id"])  # a seed without neighbours reaches nothing
-    if parents:
-        seeds = seeds.orderBy("repo", "start", "rel").withColumn("pos", F.monotonically_increasing_id())
-    else:
-        seeds = seeds.withColumn("pos", F.lit(0).cast("long"))
-    columns = ["repo", "start", "id", "rel", "is_test", "keys", "pos"]
-    frontier, seen_n = stage(seeds.select(*columns), "frontier")
-    seen = starts.select("repo", "start", "id")
+        links = links.where("not next_test")
+    frontier, size = checkpoint(_seeds(links, files, starts), ROW_BYTES)
+    seen, seen_bytes = starts.select("repo", "start", "id"), size["bytes"]
     levels: list[DataFrame] = []
-    d = 0
-    while seen_n["rows"] and (depth is None or d < depth):
-        d += 1
-        step = _next_level(frontier, links, parents)
-        fresh = step.join(seen, ["repo", "start", "id"], "left_anti")
-        if parents:
-            # Ids that increase along a range-sorted table keep the discovery order without
-            # numbering a level in one task.
-            fresh = fresh.orderBy("repo", "start", "parent_pos", "fixture", paths.walk_key(F.col("rel"))).withColumn(
-                "pos", F.monotonically_increasing_id()
-            )
-        else:
-            fresh = fresh.withColumn("pos", F.lit(0).cast("long"))
-        frontier, seen_n = stage(fresh.withColumn("depth", F.lit(d)), "level")
-        if seen_n["rows"]:
-            levels.append(frontier)
+    while size["rows"] and (depth is None or len(levels) < depth):
+        here = small(_positioned(frontier, size["rows"]) if parents else frontier, size["bytes"])
+        fresh = _next_level(here, links, parents).join(small(seen, seen_bytes), ["repo", "start", "id"], "left_anti")
+        frontier, size = checkpoint(fresh, ROW_BYTES)
+        if size["rows"]:
+            levels.append(frontier.selectExpr("*", f"{len(levels) + 1} as depth"))
             seen = seen.unionByName(frontier.select("repo", "start", "id"))
+            seen_bytes += size["bytes"]
     return _collect_levels(levels, files, starts, parents)
 
 
-def _next_level(frontier: DataFrame, links: DataFrame, parents: bool) -> DataFrame:
-    here = frontier.select(
-        "repo", "start", F.col("id").alias("node"), F.col("rel").alias("parent_rel"), F.col("pos").alias("parent_pos"),
-        F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"),
+# Bytes of one frontier row for the broadcast check: its path twice, and the fixed columns.
+ROW_BYTES = "2 * octet_length(rel) + 200"
+# A level of at most this many rows is numbered by a plain window; a larger one by a range sort.
+WINDOW_ROWS = 100_000
+
+
+def _seeds(links: DataFrame, files: DataFrame, starts: DataFrame) -> DataFrame:
+    """The first frontier. A seed without neighbours reaches nothing and is left out."""
+    fan_out = (
+        links.withColumnRenamed("node", "id").join(starts.select("repo", "id").distinct(), ["repo", "id"], "left_semi")
+        .groupBy("repo", "id").agg(F.expr("max(key) + 1 as keys"))
     )
-    found = here.join(links, ["repo", "node", "key"])
-    same = [F.first(c).alias(c) for c in ("next_rel", "next_test", "next_keys")]  # equal in every row of a file
+    return (
+        starts.join(files.select("repo", "id", "rel", "is_test"), ["repo", "id"]).join(fan_out, ["repo", "id"])
+        .selectExpr(
+            "repo", "start", "id", "rel", "is_test", "keys", "id as parent_id", "rel as parent_rel",
+            "cast(0 as bigint) as parent_pos", "false as fixture", "rel as walk",
+        )
+    )
+
+
+def _positioned(frontier: DataFrame, rows: int) -> DataFrame:
+    """Add ``pos``, the order in which a level was discovered."""
+    if rows <= WINDOW_ROWS:
+        return frontier.selectExpr(
+            "*", "cast(row_number() over (partition by repo, start order by parent_pos, fixture, walk) as bigint) as pos"
+        )
+    # Ids that increase along a range-sorted table keep the order without one task per start.
+    return frontier.orderBy("repo", "start", "parent_pos", "fixture", "walk").selectExpr(
+        "*", "monotonically_increasing_id() as pos"
+    )
+
+
+def _next_level(here: DataFrame, links: DataFrame, parents: bool) -> DataFrame:
+    """One row per start and file next to the frontier, with the earliest parent if asked."""
+    pos = "pos" if parents else "cast(0 as bigint)"
+    here = here.selectExpr(
+        "repo", "start", "id as node", "rel as parent_rel", f"{pos} as parent_pos", "explode(sequence(0, keys - 1)) as key"
+    )
+    # next_rel, next_test and next_keys are equal in every row of a file.
+    aggs = ["min(struct(next_rel, next_test, next_keys)) as about"]
     if parents:
-        best = F.min_by(F.struct("node", "parent_rel"), F.struct("parent_pos", "fixture"))
-        same += [best.alias("parent"), F.min(F.struct("parent_pos", "fixture")).alias("order")]
-    grouped = found.groupBy("repo", "start", F.col("next").alias("id")).agg(*same)
-    renamed = [F.col("next_rel").alias("rel"), F.col("next_test").alias("is_test"), F.col("next_keys").alias("keys")]
+        aggs.append("min(struct(parent_pos, fixture, node, parent_rel)) as best")
+    grouped = (
+        links.join(here, ["repo", "node", "key"]).withColumnRenamed("next", "id")
+        .groupBy("repo", "start", "id").agg(*[F.expr(a) for a in aggs])
+    )
+    columns = ["repo", "start", "id", "about.next_rel as rel", "about.next_test as is_test", "about.next_keys as keys"]
     if parents:
-        renamed += [
-            F.col("parent.node").alias("parent_id"), F.col("parent.parent_rel").alias("parent_rel"),
-            F.col("order.parent_pos").alias("parent_pos"), F.col("order.fixture").alias("fixture"),
+        columns += [
+            "best.node as parent_id", "best.parent_rel as parent_rel", "best.parent_pos as parent_pos",
+            "best.fixture as fixture", "translate(about.next_rel, '/', '\u0001') as walk",
         ]
-    return grouped.select("repo", "start", "id", *renamed)
+    return grouped.selectExpr(*columns)
 
 
 def _collect_levels(levels: list[DataFrame], files: DataFrame, starts: DataFrame, parents: bool) -> DataFrame:
     columns = ["repo", "start", "id", "rel", "is_test", "depth"]
     if not levels:
-        spark = files.sparkSession
         kinds = {**dict(files.dtypes), **dict(starts.dtypes)}
         schema = f"repo string, start {kinds['start']}, id {kinds['id']}, rel string, is_test boolean, depth int"
         if parents:
             schema += f", parent_id {kinds['id']}, parent_rel string, via string"
-        return spark.createDataFrame([], schema)
+        return files.sparkSession.createDataFrame([], schema)
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
     if parents:
-        via = F.when(F.col("depth") > 1, F.col("parent_rel"))
-        return found.select(*columns, "parent_id", "parent_rel", via.alias("via"))
+        return found.selectExpr(*columns, "parent_id", "parent_rel", "case when depth > 1 then parent_rel end as via")
     return found.select(*columns)
 
 

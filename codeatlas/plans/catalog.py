@@ -103,9 +103,9 @@ select f.repo, f.id, f.rel, f.is_test, cast(p.depth as integer) as depth,
 from path p join b_files f using (id) where p.depth > 0"""
 
 
-def _hub_reach(spark, sf, **options):
+def _hub_reach(spark, sf, seeds=views.hubs, **options):
     files = views.files(spark, sf)
-    starts = views.hubs(spark, sf).select("repo", F.lit("hubs").alias("start"), "id")
+    starts = seeds(spark, sf).select("repo", F.lit("hubs").alias("start"), "id")
     hits = graph.reach(views.edges(spark, sf), files, starts, parents=True, **options)
     return hits.select("repo", "id", "rel", "is_test", "depth", "via")
 
@@ -115,9 +115,9 @@ def dependents_all(spark, sf):
     return _hub_reach(spark, sf, reverse=True)
 
 
-@bound("deps_all", _reach_sql("src", "dst"), recursive=True)
+@bound("deps_all", _reach_sql("src", "dst", seeds="b_loaders"), recursive=True)
 def deps_all(spark, sf):
-    return _hub_reach(spark, sf)
+    return _hub_reach(spark, sf, views.loaders)
 
 
 @bound("dependents_no_tests", _reach_sql("dst", "src", no_tests=True), recursive=True)

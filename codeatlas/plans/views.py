@@ -27,7 +27,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size <= 5, "test_").otherwise(""), F.translate("p_name", " ", "_"), F.lit("_"), key.cast("string"),
         F.when(size > 45, "_test").otherwise(""), F.get(exts, (key % 6).cast("int")),
     )
-    mtime = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(key * 7919, F.lit(31_536_000))).cast("timestamp_ntz")
+    mtime = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(key * 100_003, F.lit(31_536_000))).cast("timestamp_ntz")
     return table(spark, sf_dir, "part").select(
         F.lit(REPO).alias("repo"), key.alias("id"), rel.alias("rel"),
         F.floor("p_retailprice").cast("long").alias("size"), mtime.alias("mtime"),
@@ -101,10 +101,16 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count.orderBy(F.col("n").desc(), "id").limit(5).select("repo", "id")
 
 
+def loaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five files with the most dependencies."""
+    count = edges(spark, sf_dir).groupBy("repo", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return count.orderBy(F.col("n").desc(), "id").limit(5).select("repo", "id")
+
+
 SQL = """
 b_files as (
   select 'corpus' as repo, id, rel, size,
-    cast(make_timestamp((1700000000 + (id * 7919) % 31536000) * 1000000) as timestamp) as mtime,
+    cast(make_timestamp((1700000000 + (id * 100003) % 31536000) * 1000000) as timestamp) as mtime,
     case when rel like '%.go' then ends_with(rel, '_test.go')
          else contains(rel, '/test_') or ends_with(rel, '_test.py') end as is_test
   from (select p_partkey as id, cast(floor(p_retailprice) as bigint) as size,
@@ -139,6 +145,8 @@ b_got as (
   union select repo, src, src%7 from b_edges where src<>src%7),
 b_hubs as (
   select 'corpus' as repo, dst as id from b_edges group by dst order by count(*) desc, dst limit 5),
+b_loaders as (
+  select 'corpus' as repo, src as id from b_edges group by src order by count(*) desc, src limit 5),
 b_dirs as (
   select distinct f.repo, f.rel as file, array_to_string(list_slice(string_split(f.rel,'/'),1,i),'/') as dir
   from b_files f, unnest(range(1, len(string_split(f.rel,'/')))) u(i))

@@ -1,8 +1,8 @@
-"""Cutting lineage with tables written to the cluster's shared checkpoint folder.
+"""Cutting lineage in the cluster's shared checkpoint folder, so steps survive lost executors.
 
-Iterative operators write each step as Parquet below ``spark.checkpoint.dir`` and read it
-back. A written table survives lost executors, keeps column pruning, and gives Catalyst a
-real size, so it picks a broadcast only for steps under ``autoBroadcastJoinThreshold``.
+``stage`` writes a table that is read more than once: Parquet keeps column pruning and a real
+size. ``checkpoint`` cuts the lineage of one loop step and reports its rows and bytes, which
+``small`` turns into a broadcast only when the measured size allows it.
 """
 
 from __future__ import annotations
@@ -40,3 +40,22 @@ def stage(df: DataFrame, label: str, **metrics) -> tuple[DataFrame, dict]:
         seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()]
     ).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get
+
+
+# A side is broadcast by hand only below this measured size; beyond it Spark shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def checkpoint(df: DataFrame, width: str) -> tuple[DataFrame, dict]:
+    """Reliable checkpoint of a loop step, with its ``rows`` and ``bytes`` (``width`` per row)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch_root(df.sparkSession))
+    seen = Observation()
+    out = df.observe(seen, F.expr("count(1) as rows"), F.expr(f"coalesce(sum({width}), 0) as bytes")).checkpoint()
+    return out, seen.get
+
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    """Mark ``df`` for broadcast if its measured ``size`` in bytes is within the bound."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
