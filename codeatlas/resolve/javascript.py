@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..extract.manifests import js_packages, ts_configs
 from ..functions import paths
-from ..storage import checkpoint
+from ..storage import checkpoint, stage
 from .common import first_existing, links, longest_prefix, nearest
 
 # The extensions tried, in order.
@@ -26,14 +26,14 @@ def probe_candidates(base: Column) -> Column:
     ))
 
 
-def configs(contents: DataFrame) -> DataFrame:
+def configs(contents: DataFrame, packages: DataFrame) -> DataFrame:
     """(repo, at, base_url, base, paths): each folder's config with what it inherits.
 
     A config takes unset settings from the last parent it can read, and so on up the chain; every
     setting stays relative to the file that set it.
     """
-    every = ts_configs(contents)
-    named = js_packages(contents).where("name <> ''").groupBy("repo", F.col("name").alias("key")).agg(
+    every, _ = stage(ts_configs(contents), "js-configs")
+    named = packages.where("name <> ''").groupBy("repo", F.col("name").alias("key")).agg(
         F.min_by("at", paths.walk_key(F.col("rel"))).alias("pkg_dir")
     )
     with_json = lambda c: F.when(c.endswith(".json"), c).otherwise(F.concat(c, F.lit(".json")))
@@ -185,7 +185,7 @@ def resolve(specs: DataFrame, sources: DataFrame, contents: DataFrame) -> DataFr
     """Links of JavaScript and TypeScript specs."""
     keys = ["repo", "dir", "spec"]
     asked = specs.where("lang = 'js'").select(*keys).distinct()
-    packages = js_packages(contents)
+    packages, _ = stage(js_packages(contents), "js-packages")
     relative = asked.where(F.col("spec").startswith(".")).select(
         *keys, F.lit(0).alias("o"), F.lit(0).alias("i"), paths.join(F.col("dir"), F.col("spec")).alias("base")
     )
@@ -201,8 +201,8 @@ def resolve(specs: DataFrame, sources: DataFrame, contents: DataFrame) -> DataFr
     bare = asked.where(~F.col("spec").rlike(r"\A[.#]")).unionByName(
         outside.select("repo", "dir", F.col("to").alias("spec"))
     ).distinct()
-    bases = _alias_bases(bare, configs(contents)).unionByName(_package_bases(bare, packages)).unionByName(relative)
-    direct = _first_base(bases, sources, keys, ["o", "i"])
+    bases = _alias_bases(bare, configs(contents, packages)).unionByName(_package_bases(bare, packages)).unionByName(relative)
+    direct, _ = stage(_first_base(bases, sources, keys, ["o", "i"]), "js-direct")
     inner = _first_base(files_of, sources, [*keys, "t"], ["t"]).unionByName(
         outside.join(direct.select("repo", "dir", F.col("spec").alias("to"), "target"), ["repo", "dir", "to"]).select(*keys, "t", "target")
     )

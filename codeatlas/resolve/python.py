@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..extract.imports import py_from_clauses
 from ..functions import paths
+from ..storage import stage
 from .common import first_existing, links
 
 MANIFESTS = ["pyproject.toml", "setup.py", "setup.cfg"]
@@ -117,16 +118,17 @@ def _chase(heads: DataFrame, exports: DataFrame) -> DataFrame:
 def resolve(specs: DataFrame, sources: DataFrame, contents: DataFrame, files: DataFrame) -> DataFrame:
     """Links of Python specs. A name that is no module goes where the package re-exports it from."""
     asked = specs.where("lang = 'py'").select("repo", "dir", "spec").distinct()
-    root_dirs = roots(files)
+    root_dirs, _ = stage(roots(files), "py-roots")
     named = F.regexp_extract("spec", r"\A(.*)\.([^.]*)\z", 1)
     heads = asked.select("repo", "dir", "spec", named.alias("head"), F.substring_index("spec", ".", -1).alias("name")).where(
         F.col("head").rlike(r"[^.]")
     )
     everything = asked.unionByName(heads.select("repo", "dir", F.col("head").alias("spec"))).distinct()
-    modules = resolve_modules(everything, sources, root_dirs)
+    modules, _ = stage(resolve_modules(everything, sources, root_dirs), "py-modules")
     unknown = heads.join(modules.select("repo", "dir", "spec"), ["repo", "dir", "spec"], "left_anti")
     at = unknown.join(
         modules.select("repo", "dir", F.col("spec").alias("head"), F.col("target").alias("pkg")), ["repo", "dir", "head"]
     )
-    chased = _chase(at.select("repo", "dir", "spec", "pkg", "name"), reexports(contents, sources, root_dirs))
+    exports, _ = stage(reexports(contents, sources, root_dirs), "py-exports")
+    chased = _chase(at.select("repo", "dir", "spec", "pkg", "name"), exports)
     return links(specs.where("lang = 'py'"), modules.unionByName(chased), ["dir", "spec"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..extract.manifests import crates
 from ..functions import paths
+from ..storage import stage
 from .common import first_existing, links, nearest
 
 
@@ -79,8 +80,8 @@ def _child_files(name: Column) -> Column:
 
 def resolve(specs: DataFrame, sources: DataFrame, contents: DataFrame) -> DataFrame:
     """Links of Rust specs."""
-    manifests = crates(contents)
-    where = modules(sources, manifests)
+    manifests, _ = stage(crates(contents), "rs-crates")
+    where, _ = stage(modules(sources, manifests), "rs-modules")
     asked = specs.where("lang = 'rs'").select("repo", "src", "spec").distinct().join(where, ["repo", "src"])
     asked = asked.withColumn("segs", F.split("spec", "::")).withColumn("first", F.get("segs", F.lit(0)))
     key = ["repo", "src", "spec"]
