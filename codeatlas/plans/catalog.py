@@ -710,3 +710,215 @@ select src, 'uses ' || array_to_string(l[1:3], ', ') || case when len(l) > 3 the
 def reason_list(spark, sf):
     names = views.edges(spark, sf).join(views.files(spark, sf).select(F.col("id").alias("dst"), "rel"), "dst")
     return graph.reason_text(names, ["src"], "rel", "uses ").select("src", "reason")
+
+
+# ---- extraction and resolution of source texts derived from the tables ------------------
+
+
+@bound("code_specs", """
+with use as (select repo, prefix||src_dir||'/'||tag||ext as src, u.* exclude (src), u.src as a from c_lang, c_use u),
+spec as (
+  select repo, src, unnest(case repo
+    when 'js' then ['../../'||src_dir||'/'||src_stem, '../../'||dst_dir||'/'||dst_stem]
+    when 'py' then ['.', '.'||src_stem, 'os', replace(dst_dir,'/','.')||'.'||dst_stem]
+    when 'java' then [replace(src_dir,'/','.')||'.'||src_stem, replace(dst_dir,'/','.')||'.'||dst_stem]
+    when 'rs' then ['super::'||src_stem, 'super::'||src_stem||'::f'||a, 'super::'||src_stem, 'crate::'||replace(dst_dir,'/','::')||'::'||dst_stem||'::f'||dst] end) as spec
+  from use where repo <> 'go')
+select repo, src, spec, count(*) as n from spec group by all""")
+def code_specs(spark, sf):
+    from ..extract.imports import import_specs
+
+    return import_specs(views.code(spark, sf)).groupBy("repo", "src", "spec").agg(F.count(F.lit(1)).alias("n"))
+
+
+@bound("code_symbols", """
+select repo, prefix||dir||'/'||stem||ext as rel, case repo
+  when 'js' then 'export function F'||id||'(a: number = 1): number' when 'py' then 'def F'||id||'(a: int = 1) -> int'
+  when 'java' then 'public final class '||stem when 'rs' then 'pub fn f'||id||'(a: u8) -> u8'
+  when 'go' then 'func F'||id||'(a, b int) int' end as symbol
+from c_lang, c_place""")
+def code_symbols(spark, sf):
+    from ..resolve.graph import all_symbols
+
+    rows = all_symbols(views.code(spark, sf))
+    return rows.select("repo", "rel", F.explode("symbols").alias("symbol"))
+
+
+def _language_links(repo: str):
+    def run(spark, sf):
+        from ..resolve import graph as code_graph
+
+        contents = views.code(spark, sf).where(F.col("repo") == repo)
+        return code_graph.build(contents).edges
+
+    return run
+
+
+for _repo in ("js", "py", "java", "rs"):
+    bound(f"code_edges_{_repo}", f"select repo, src, dst from c_edges where repo = '{_repo}'")(_language_links(_repo))
+# The package of a used file is linked whole only where no used name is found: here all are.
+bound("code_edges_go", "select repo, src, dst from c_edges where repo = 'go'")(_language_links("go"))
+
+
+@bound("go_token_facts", """
+select prefix||dir||'/'||stem||ext as rel, 'declares' as fact, 'F'||id as name from c_lang, c_place where repo = 'go'
+union all select src_dir||'/'||tag||'.go', 'declares', tag from c_use
+union all select src_dir||'/'||tag||'.go', 'imports', 'ex/'||dst_dir from c_use where src_dir <> dst_dir
+union all select src_dir||'/'||tag||'.go', 'selects', 'd.F'||dst from c_use where src_dir <> dst_dir
+union all select prefix||dir||'/'||stem||ext, 'package', string_split(dir,'/')[2] from c_lang, c_place where repo = 'go'
+union all select src_dir||'/'||tag||'.go', 'package', string_split(src_dir,'/')[2] from c_use""")
+def go_token_facts(spark, sf):
+    from ..extract import golang as go
+
+    toks = go.staged_tokens(views.code(spark, sf).where("repo = 'go'"))
+    imps = go.imports(toks)
+    fact = lambda df, kind, name: df.select("rel", F.lit(kind).alias("fact"), name.alias("name"))
+    out = fact(go.declares(go._names(toks)), "declares", F.col("name"))
+    out = out.unionByName(fact(imps, "imports", F.col("path")))
+    out = out.unionByName(fact(go.selectors(toks, imps), "selects", F.concat_ws(".", "pkg", "name")))
+    return out.unionByName(fact(go.packages(toks), "package", F.col("pkg")))
+
+
+# ---- ancestor, prefix and suffix joins --------------------------------------------------
+
+
+@bound("nearest_ancestor", """
+with folder as (select id, rel, array_to_string(list_slice(string_split(rel,'/'),1,2),'/') as dir from b_files),
+marks as (select distinct array_to_string(list_slice(string_split(rel,'/'),1,1 + id % 2),'/') as at from b_files where id % 50 = 0 and id % 3 <> 2
+  union select '.')
+select distinct 'corpus' as repo, dir, coalesce(m2.at, m1.at, '.') as at from folder
+left join marks m2 on m2.at = dir left join marks m1 on m1.at = string_split(dir,'/')[1]""")
+def nearest_ancestor(spark, sf):
+    from ..resolve.common import nearest
+
+    rel = F.col("rel")
+    files = views.files(spark, sf)
+    dirs = files.select("repo", paths.parent(rel).alias("dir")).distinct()
+    marks = files.where("id % 50 = 0 and id % 3 <> 2").select(
+        "repo", F.when(F.col("id") % 2 == 0, F.substring_index(rel, "/", 1)).otherwise(paths.parent(rel)).alias("at")
+    ).unionByName(files.select("repo", F.lit(".").alias("at"))).distinct()
+    return nearest(dirs, marks, F.lit(1)).select("repo", "dir", "at")
+
+
+@bound("longest_prefix", """
+with known as (select distinct string_split(rel,'/')[1] as key from b_files
+  union select distinct array_to_string(list_slice(string_split(rel,'/'),1,2),'/') from b_files where id % 7 = 0)
+select f.repo, f.rel, max_by(k.key, length(k.key)) as key from b_files f join known k on f.rel = k.key or starts_with(f.rel, k.key||'/')
+group by f.repo, f.rel""")
+def longest_prefix(spark, sf):
+    from ..resolve.common import longest_prefix as join
+
+    files = views.files(spark, sf)
+    known = files.select("repo", F.substring_index("rel", "/", 1).alias("key")).unionByName(
+        files.where("id % 7 = 0").select("repo", paths.parent(F.col("rel")).alias("key"))
+    ).distinct()
+    return join(files, "rel", known)
+
+
+@bound("suffix_first", """
+with tails as (select rel, array_to_string(list_slice(string_split(regexp_replace(rel,'\\.[^./]*$',''),'/'),i,3),'/') as suffix
+  from b_files, range(1,4) r(i))
+select 'corpus' as repo, suffix, min(rel) as rel from (select *, translate(rel,'/',chr(1)) as k from tails) group by suffix""".replace(
+    "min(rel) as rel", "arg_min(rel, k) as rel"))
+def suffix_first(spark, sf):
+    from ..resolve.common import suffix_index
+
+    return suffix_index(views.files(spark, sf))
+
+
+# ---- quality, runs, freshness -----------------------------------------------------------
+
+
+@bound("graph_score", """
+with f as (select coalesce(w.src,g.src) as src, coalesce(w.dst,g.dst) as dst, w.src is not null as wanted, g.src is not null as drawn
+  from b_edges w full join b_got g on w.src=g.src and w.dst=g.dst)
+select 'corpus' as repo, count(*) filter (wanted) as want, count(*) filter (wanted and drawn) as hit, count(*) filter (drawn) as got,
+  count(*) filter (drawn and wanted) as correct, count(*) filter (wanted and not drawn) as missed, count(*) filter (drawn and not wanted) as wrong,
+  count(*) filter (wanted and drawn) / count(*) filter (wanted) as recall, count(*) filter (drawn and wanted) / count(*) filter (drawn) as precision
+from f""")
+def graph_score(spark, sf):
+    return quality.graph_score(quality.compare_edges(*views.truth(spark, sf)))
+
+
+@bound("missed_wrong", """
+select repo, src, dst, 'missed' as kind from (select * from b_edges except select * from b_got)
+union all select repo, src, dst, 'wrong' from (select * from b_got except select * from b_edges)""")
+def missed_wrong(spark, sf):
+    flags = quality.compare_edges(*views.truth(spark, sf))
+    return quality.missed(flags).withColumn("kind", F.lit("missed")).unionByName(
+        quality.wrong(flags).withColumn("kind", F.lit("wrong")))
+
+
+@bound("run_summary", """
+select event_type, count(*) as runs, count(*) filter (not ok) as failed, count(*) filter (ok and exact) as exact,
+  avg(value) filter (ok) as mean_value, sum(value) filter (ok) as sum_value, median(value) filter (ok) as median_value
+from (select *, event_id % 11 <> 0 as ok, user_id % 3 = 0 as exact from events) group by event_type""")
+def run_summary(spark, sf):
+    runs = views.table(spark, sf, "events").withColumn("ok", F.expr("event_id % 11 <> 0")).withColumn("exact", F.expr("user_id % 3 = 0"))
+    return quality.run_summary(runs, "event_type", ["value"])
+
+
+@bound("folder_edges", """
+with folder as (select id, array_to_string(list_slice(string_split(rel,'/'),1,2),'/') as dir from b_files)
+select distinct e.repo, e.src, d.dir as dst from b_edges e join folder s on s.id = e.src join folder d on d.id = e.dst where s.dir <> d.dir""")
+def folder_edges(spark, sf):
+    return quality.folder_edges(views.edges(spark, sf), views.files(spark, sf))
+
+
+# ---- declarations reaching a change -----------------------------------------------------
+# Parts are declarations: a method "T.m" of type brand and name word, or a function; edges are references.
+
+DECL = """
+decl as (
+  select f.id, case when id % 3 = 0 then lower(replace(p_brand,'#',''))||'.'||string_split(p_name,' ')[1] else 'fn'||id end as name,
+    case when id % 3 = 0 then string_split(p_name,' ')[1] end as method
+  from b_files f join part on p_partkey = id),
+refs as (
+  select s.name as name, case when d.method is not null and e.src % 2 = 0 then '.'||d.method else d.name end as ref
+  from b_edges e join decl s on s.id = e.src join decl d on d.id = e.dst)
+"""
+
+
+@bound("decl_reach", f"""
+with {DECL.strip()},
+seed as (select d.name from b_hubs h join decl d using (id)),
+link as (
+  select r.name, d.name as target from refs r join decl d on d.name = r.ref
+  union select r.name, d.name from refs r join decl d on '.'||d.method = r.ref),
+hit(name) as (select name from seed union select l.name from hit h join link l on l.target = h.name)
+select 'corpus' as repo, 'pkg' as dir, name from hit""", recursive=True)
+def decl_reach(spark, sf):
+    from ..operators import declarations
+
+    decls, refs = _declarations(spark, sf)
+    seeds = views.hubs(spark, sf).join(decls.select("id", "name"), "id").select("repo", F.lit("pkg").alias("dir"), "name").distinct()
+    return declarations.reaching(decls.select("repo", "dir", "name").distinct(), refs, seeds)
+
+
+def _declarations(spark, sf):
+    word = "split(p_name, ' ')[0]"
+    decls = views.table(spark, sf, "part").selectExpr(
+        "'corpus' as repo", "'pkg' as dir", "p_partkey as id",
+        f"case when p_partkey % 3 = 0 then concat(lower(translate(p_brand, '#', '')), '.', {word}) else concat('fn', p_partkey) end as name",
+        f"case when p_partkey % 3 = 0 then {word} end as method",
+    )
+    a = decls.selectExpr("id as src", "name")
+    b = decls.selectExpr("id as dst", "name as to_name", "method")
+    refs = views.edges(spark, sf).join(a, "src").join(b, "dst").selectExpr(
+        "repo", "'pkg' as dir", "name", "case when method is not null and src % 2 = 0 then concat('.', method) else to_name end as ref"
+    ).distinct()
+    return decls, refs
+
+
+@bound("test_narrowing", """
+with t as (select array_to_string(list_slice(string_split(rel,'/'),1,2),'/') as dir, 'Test'||id as name, id in (select src from b_edges) as hit
+  from b_files where is_test),
+g as (select dir, count(*) as total, count(*) filter (hit) as reached from t group by dir)
+select 'corpus' as repo, g.dir, t.name from g join t using (dir) where t.hit and reached > 0 and reached <= total // 2""")
+def test_narrowing(spark, sf):
+    from ..operators import declarations
+
+    files = views.files(spark, sf)
+    tests = files.where("is_test").select("repo", paths.parent(F.col("rel")).alias("dir"), F.concat(F.lit("Test"), F.col("id").cast("string")).alias("name"), "id")
+    reached = tests.join(views.edges(spark, sf).select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("repo", "dir", "name")
+    return declarations.narrowed_tests(tests.select("repo", "dir", "name"), reached).select("repo", "dir", "name")

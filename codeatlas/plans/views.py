@@ -151,3 +151,77 @@ b_dirs as (
   select distinct f.repo, f.rel as file, array_to_string(list_slice(string_split(f.rel,'/'),1,i),'/') as dir
   from b_files f, unnest(range(1, len(string_split(f.rel,'/')))) u(i))
 """
+
+
+# ---- source texts derived from the tables -----------------------------------------------
+# Every part becomes a file that declares F<id>; every edge becomes a file beside its source
+# that uses both ends. One repository per language, so no list is ever collected into a text.
+
+_DIR = "concat(lower(p_type), '/', lower(translate(p_brand, '#', '')))"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, dir, stem): where a part's file lies, without extension."""
+    name = "concat(translate(p_name, ' ', '_'), '_', p_partkey)"
+    return table(spark, sf_dir, "part").selectExpr("p_partkey as id", f"{_DIR} as dir", f"{name} as stem")
+
+
+def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _places(spark, sf_dir)
+    a = p.selectExpr("id as src", "dir as src_dir", "stem as src_stem")
+    b = p.selectExpr("id as dst", "dir as dst_dir", "stem as dst_stem")
+    return edges(spark, sf_dir).join(a, "src").join(b, "dst").drop("repo")
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, rel, size, content) of the derived corpus."""
+    parts_, uses_ = _places(spark, sf_dir), _uses(spark, sf_dir)
+    part_text = {
+        "js": ("concat(dir, '/', stem, '.ts')",
+               "concat('// export function gone(): void;\\nexport function F', id, '(a: number = 1): number {\\n  return a;\\n}\\n')"),
+        "py": ("concat(dir, '/', stem, '.py')",
+               "concat('def F', id, '(a: int = 1) -> int:\\n    return a\\n\\ndef _hidden', id, '():\\n    pass\\n')"),
+        "java": ("concat('src/main/java/', dir, '/', stem, '.java')",
+                 "concat('package x;\\n\\npublic final class ', stem, ' {\\n}\\n')"),
+        "rs": ("concat('src/', dir, '/', stem, '.rs')", "concat('pub fn f', id, '(a: u8) -> u8 { a }\\n')"),
+        "go": ("concat(dir, '/', stem, '.go')",
+               "concat('package ', split(dir, '/')[1], '\\n\\nfunc F', id, '(a, b int) int {\\n\\tF', id + 1, ' := a + b\\n\\treturn F', id + 1, '\\n}\\n')"),
+    }
+    tag = "concat('use_', src, '_', dst)"
+    mod = lambda w: f"concat({w}_dir, '/', {w}_stem)"
+    dotted = lambda w: f"translate({mod(w)}, '/', '.')"
+    use_text = {
+        "js": (f"concat(src_dir, '/', {tag}, '.ts')",
+               f"concat('import {{\\n  a,\\n}} from \\'../../', {mod('src')}, '\\';\\n// import x from \\'./none\\';\\nconst b = require(\\'../../', {mod('dst')}, '\\');\\n')"),
+        "py": (f"concat(src_dir, '/', {tag}, '.py')",
+               f"concat('from . import ', src_stem, '  # here\\nimport os, ', {dotted('dst')}, ' as d\\n')"),
+        "java": (f"concat('src/main/java/', src_dir, '/', {tag}, '.java')",
+                 f"concat('package x;\\nimport ', {dotted('src')}, ';\\nimport static ', {dotted('dst')}, ';\\n// import none.None;\\n')"),
+        "rs": (f"concat('src/', src_dir, '/', {tag}, '.rs')",
+               f"concat('use super::', src_stem, '::{{self, f', src, '}};\\n/* use crate::none; /* nested */ */\\nfn x() {{ crate::', replace({mod('dst')}, '/', '::'), '::f', dst, '(1); }}\\n')"),
+        "go": (f"concat(src_dir, '/', {tag}, '.go')",
+               f"concat('package ', split(src_dir, '/')[1], '\\n\\nimport d \"ex/', dst_dir, '\"\\n\\nvar ', {tag}, ' = F', src, '(1, 2) + ',"
+               f" case when src_dir = dst_dir then '' else 'd.' end, 'F', dst, '(3, 4)\\n')"),
+    }
+    # A file in its own package can't import it: such an edge is a plain use.
+    use_text["go"] = (use_text["go"][0], use_text["go"][1].replace(
+        "'\\n\\nimport d \"ex/', dst_dir, '\"\\n\\nvar '", "case when src_dir = dst_dir then '\\n\\nvar ' else concat('\\n\\nimport d \"ex/', dst_dir, '\"\\n\\nvar ') end"))
+    fixed = {"rs": ("src/lib.rs", "// root\\n"), "go": ("go.mod", "module ex\\n\\ngo 1.22\\n")}
+    rows = lambda texts: "inline(array(" + ", ".join(
+        f"struct('{repo}' as repo, {rel} as rel, {text} as content)" for repo, (rel, text) in texts.items()) + "))"
+    lone = spark.range(1).selectExpr(rows({k: (f"'{rel}'", f"'{text}'") for k, (rel, text) in fixed.items()}))
+    out = parts_.selectExpr(rows(part_text)).unionByName(uses_.selectExpr(rows(use_text))).unionByName(lone)
+    return out.selectExpr("repo", "rel", "cast(octet_length(content) as bigint) as size", "content")
+
+
+SQL += """,
+c_place as (
+  select p_partkey as id, lower(p_type)||'/'||lower(replace(p_brand,'#','')) as dir, replace(p_name,' ','_')||'_'||p_partkey as stem from part),
+c_use as (
+  select e.src, e.dst, a.dir as src_dir, a.stem as src_stem, b.dir as dst_dir, b.stem as dst_stem, 'use_'||e.src||'_'||e.dst as tag
+  from b_edges e join c_place a on a.id = e.src join c_place b on b.id = e.dst),
+c_lang(repo, prefix, ext) as (values ('js','','.ts'), ('py','','.py'), ('java','src/main/java/','.java'), ('rs','src/','.rs'), ('go','','.go')),
+c_edges as (
+  select distinct repo, prefix||src_dir||'/'||tag||ext as src, prefix||d.dir||'/'||d.stem||ext as dst
+  from c_lang, c_use u join c_place d on d.id in (u.src, u.dst))
+"""

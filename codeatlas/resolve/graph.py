@@ -22,27 +22,63 @@ class CodeGraph:
     edges: DataFrame
     specs: DataFrame  # import specs of all languages but Go
     links: DataFrame  # (repo, src, ord, spec, target) of those specs
-    go: golang.GoTables
+    go: golang.GoTables | None
 
 
-def spec_links(specs: DataFrame, sources: DataFrame, contents: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, src, ord, spec, target) of every spec that names a source file."""
-    found = javascript.resolve(specs, sources, contents)
-    found = found.unionByName(python.resolve(specs, sources, contents, files))
-    found = found.unionByName(rust.resolve(specs, sources, contents))
-    return found.unionByName(jvm.resolve(specs, sources))
+def spec_links(
+    specs: DataFrame, sources: DataFrame, contents: DataFrame, files: DataFrame, langs: set[str] = frozenset(("js", "py", "rs", "java", "kt"))
+) -> DataFrame:
+    """(repo, src, ord, spec, target) of every spec that names a source file; only ``langs`` are planned."""
+    found = specs.sparkSession.createDataFrame([], "repo string, src string, ord int, spec string, target string")
+    if "js" in langs:
+        found = found.unionByName(javascript.resolve(specs, sources, contents))
+    if "py" in langs:
+        found = found.unionByName(python.resolve(specs, sources, contents, files))
+    if "rs" in langs:
+        found = found.unionByName(rust.resolve(specs, sources, contents))
+    if langs & {"java", "kt"}:
+        found = found.unionByName(jvm.resolve(specs, sources))
+    return found
 
 
 def build(contents: DataFrame, files: DataFrame | None = None, tests: bool = True) -> CodeGraph:
-    """Extract and resolve ``contents(repo, rel, size, content)``; ``files`` may list more paths."""
+    """Extract and resolve ``contents(repo, rel, size, content)``; ``files`` may list more paths.
+
+    Languages the corpus doesn't hold are left out of the plan; the counts come with the writes.
+    """
     files = contents.select("repo", "rel") if files is None else files
-    sources, _ = stage(select_sources(files, tests), "sources")
+    sources, n = stage(select_sources(files, tests), "sources", go=F.expr("count_if(rel like '%.go')"))
     texts = readable(contents)
     own = texts.join(sources.select("repo", "rel"), ["repo", "rel"], "left_semi")
-    specs, _ = stage(import_specs(own), "specs")
-    links, _ = stage(spec_links(specs, sources, texts, files), "links")
-    go = golang.tables(own, sources, texts)
-    edges = distinct_edges(
-        links.select("repo", "src", F.col("target").alias("dst")).unionByName(golang.edges(go).select("repo", "src", "dst"))
+    specs, by_lang = stage(
+        import_specs(own), "specs", **{k: F.expr(f"count_if(lang = '{k}')") for k in ("js", "py", "rs", "java", "kt")}
     )
-    return CodeGraph(sources, stage(edges, "edges")[0], specs, links, go)
+    langs = {k for k, rows in by_lang.items() if rows and k != "rows"}
+    links, _ = stage(spec_links(specs, sources, texts, files, langs), "links")
+    edges = links.select("repo", "src", F.col("target").alias("dst"))
+    go = golang.tables(own, sources, texts) if n["go"] else None
+    if go is not None:
+        edges = edges.unionByName(golang.edges(go).select("repo", "src", "dst"))
+    return CodeGraph(sources, stage(distinct_edges(edges), "edges")[0], specs, links, go)
+
+
+def all_symbols(contents: DataFrame) -> DataFrame:
+    """(repo, rel, symbols): the declarations of every source file, exported Go ones first."""
+    from ..extract import decls, golang as go
+
+    texts = readable(contents)
+    toks = go.staged_tokens(texts)
+    return decls.symbols(texts).unionByName(go.signature_symbols(toks, stage(go._names(toks), "go-names")[0]))
+
+
+def declarations(graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
+    """Go declarations (repo, dir, file, name) and references (repo, dir, file, name, ref), for impact."""
+    from ..extract import golang as go
+    from ..functions import paths
+
+    t = graph.go
+    decls = t.names.select(
+        "repo", paths.parent(F.col("rel")).alias("dir"), F.col("rel").alias("file"),
+        F.expr("case when recv is null then name else concat(recv, '.', name) end").alias("name"),
+    ).distinct()
+    return decls, stage(go.refs(t.tokens, t.names, t.bound), "go-refs")[0]
