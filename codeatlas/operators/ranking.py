@@ -104,8 +104,11 @@ def sibling_order(
 
     ``reverse`` flips the key but not the folders-first rule, and ties stay in name order.
     """
-    key = {"name": F.col("name"), "size": -F.col("size"), "time": F.col("mtime")}[by]
-    descending = reverse != (by == "time")
     order = [F.col("is_dir").desc()] if dirs_first else []
-    order += [key.desc() if descending else key.asc(), F.col("name").asc()]
-    return number_rows(entries, ["repo", "dir"], order, "pos")
+    return number_rows(entries, ["repo", "dir"], order + sibling_keys(by, reverse), "pos")
+
+
+def sibling_keys(by: str, reverse: bool = False) -> list[Column]:
+    """The sort of a folder's entries; equal keys stay in name order either way."""
+    key = {"name": F.col("name"), "size": -F.col("size"), "time": F.col("mtime")}[by]
+    return [key.desc() if reverse != (by == "time") else key.asc(), F.col("name").asc()]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import globs
+from ..functions import globs, labels
 
 
 @dataclass(frozen=True)
@@ -63,6 +63,14 @@ def violations(
     return hits.select("repo", "line", F.element_at(text, F.col("line")).alias("rule"), "from", "to")
 
 
+def broken_links(links: DataFrame, rules: list[ArchRule]) -> DataFrame:
+    """Violations among ``links(repo, from, to)``, decided row by row: also on a stream of new links."""
+    both = F.array_intersect(_lines_matching(rules, "from_regex", F.col("from")), _lines_matching(rules, "to_regex", F.col("to")))
+    text = F.create_map(*[F.lit(x) for r in rules for x in (r.line, r.rule)])
+    hits = links.where(~labels.is_test(F.col("from"))).withColumn("line", F.explode(both))
+    return hits.withColumn("rule", F.element_at(text, F.col("line")))
+
+
 def unmatched_rules(files: DataFrame, rules: list[ArchRule]) -> DataFrame:
     """Rules that match no file on at least one side, per repo."""
     seen = [F.max(F.col("rel").rlike(getattr(r, s))).alias(f"{s}_{r.line}") for r in rules for s in ("from_regex", "to_regex")]

@@ -748,8 +748,7 @@ def _language_links(repo: str):
     def run(spark, sf):
         from ..resolve import graph as code_graph
 
-        contents = views.code(spark, sf).where(F.col("repo") == repo)
-        return code_graph.build(contents).edges
+        return code_graph.build(views.code(spark, sf, repo)).edges
 
     return run
 
@@ -770,7 +769,7 @@ union all select src_dir||'/'||tag||'.go', 'package', string_split(src_dir,'/')[
 def go_token_facts(spark, sf):
     from ..extract import golang as go
 
-    toks = go.staged_tokens(views.code(spark, sf).where("repo = 'go'"))
+    toks = go.staged_tokens(views.code(spark, sf, "go"))
     imps = go.imports(toks)
     fact = lambda df, kind, name: df.select("rel", F.lit(kind).alias("fact"), name.alias("name"))
     out = fact(go.declares(go._names(toks)), "declares", F.col("name"))
@@ -922,3 +921,252 @@ def test_narrowing(spark, sf):
     tests = files.where("is_test").select("repo", paths.parent(F.col("rel")).alias("dir"), F.concat(F.lit("Test"), F.col("id").cast("string")).alias("name"), "id")
     reached = tests.join(views.edges(spark, sf).select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("repo", "dir", "name")
     return declarations.narrowed_tests(tests.select("repo", "dir", "name"), reached).select("repo", "dir", "name")
+
+
+@bound("fingerprint_changed", """
+select repo, rel, 'modified' as change from b_files where id % 97 = 0 and id % 50 <> 0
+union all select repo, rel, 'removed' from b_files where id % 50 = 0
+union all select repo, 'new/' || rel, 'added' from b_files where id % 50 = 0""")
+def fingerprint_changed(spark, sf):
+    from ..streaming.incremental import changes
+
+    old = views.files(spark, sf)
+    grown = F.when((F.col("id") % 97 == 0) & (F.col("id") % 50 != 0), F.col("size") + 1).otherwise(F.col("size"))
+    moved = F.when(F.col("id") % 50 == 0, F.concat(F.lit("new/"), "rel")).otherwise(F.col("rel"))
+    return changes(old, old.withColumn("size", grown).withColumn("rel", moved))
+
+
+# ---- streams: the events table read as commit touches -----------------------------------
+
+_STREAM = """
+with t as (select 'corpus' as repo, 'u' || user_id || '/' || event_type as path, ts from events),
+last as (select max(ts) - interval 2 day as closed from t)
+"""
+
+
+def _event_stream(spark, sf):
+    from ..streaming.churn import read_touches
+
+    schema = views.table(spark, sf, "events").schema
+    raw = read_touches(spark, sf, schema, "events.parquet")
+    return raw.select(
+        F.lit(views.REPO).alias("repo"), F.col("event_id").alias("commit_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("path"),
+    )
+
+
+def _drained(spark, stream):
+    import uuid
+
+    from ..storage import scratch_root
+    from ..streaming.churn import drain
+
+    at = f"{scratch_root(spark)}/codeatlas/stream-{uuid.uuid4().hex[:8]}"
+    out = drain(stream, at + "/out", at + "/checkpoint")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@bound("stream_churn_day", _STREAM + """, w as (
+  select repo, path, date_trunc('day', ts) as start, count(*) as commits from t group by all)
+select repo, path, cast(start as timestamp) as start, cast(start + interval 1 day as timestamp) as "end", commits
+from w, last where start + interval 1 day <= closed""")
+def stream_churn_day(spark, sf):
+    from ..streaming.churn import windowed_churn
+
+    return _drained(spark, windowed_churn(_event_stream(spark, sf), "1 day", late="2 days"))
+
+
+@bound("stream_churn_sliding", _STREAM + """, w as (
+  select repo, path, date_trunc('day', ts) - k * interval 1 day as start, count(*) as commits from t, range(0, 7) r(k) group by all)
+select repo, path, cast(start as timestamp) as start, cast(start + interval 7 day as timestamp) as "end", commits
+from w, last where start + interval 7 day <= closed""")
+def stream_churn_sliding(spark, sf):
+    from ..streaming.churn import windowed_churn
+
+    return _drained(spark, windowed_churn(_event_stream(spark, sf), "7 days", "1 day", late="2 days"))
+
+
+@bound("stream_bursts", _STREAM + """, gaps as (
+  select *, case when ts - lag(ts) over (partition by path order by ts) < interval 6 hour then 0 else 1 end as cut from t),
+runs as (select *, sum(cut) over (partition by path order by ts rows unbounded preceding) as run from gaps),
+w as (select repo, path, run, min(ts) as start, max(ts) + interval 6 hour as "end", count(*) as commits from runs group by all)
+select repo, path, start, "end", commits from w, last where "end" <= closed""")
+def stream_bursts(spark, sf):
+    from ..streaming.churn import bursts
+
+    return _drained(spark, bursts(_event_stream(spark, sf), "6 hours", late="2 days"))
+
+
+@bound("churn_by_day_window", """
+select 'corpus' as repo, 'u' || user_id || '/' || event_type as path, cast(date_trunc('day', ts) as timestamp) as start, count(*) as commits
+from events group by all""")
+def churn_by_day_window(spark, sf):
+    rows = views.table(spark, sf, "events").select(
+        F.lit(views.REPO).alias("repo"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("path"),
+        F.window(F.col("ts").cast("timestamp"), "1 day")["start"].cast("timestamp_ntz").alias("start"),
+    )
+    return rows.groupBy("repo", "path", "start").agg(F.count(F.lit(1)).alias("commits"))
+
+
+@bound("violation_links", """
+with e as (select s.repo, s.rel as "from", t.rel as "to" from b_edges e join b_files s on s.id = e.src join b_files t on t.id = e.dst where not s.is_test)
+select e.*, r.line, r.rule from e join b_rules r on regexp_matches("from", r.from_re) and regexp_matches("to", r.to_re)""")
+def violation_links(spark, sf):
+    files = views.files(spark, sf)
+    named = views.edges(spark, sf).join(files.select(F.col("id").alias("src"), F.col("rel").alias("from")), "src").join(
+        files.select(F.col("id").alias("dst"), F.col("rel").alias("to")), "dst")
+    return rules.broken_links(named.select("repo", "from", "to"), views.RULES)
+
+
+# ---- version-control exports ------------------------------------------------------------
+
+
+@bound("diff_source", """
+select repo, path, status, case when length(path) % 5 = 0 then 0 else added end as added, deleted from b_diff""")
+def diff_source(spark, sf):
+    from ..sources import vcs
+
+    d = views.diff(spark, sf)
+    renamed = F.length("path") % 7 == 0
+    names = d.select("repo", F.when(renamed, F.concat("status", F.lit("100\told/"), "path", F.lit("\t"), "path")).otherwise(
+        F.concat_ws("\t", "status", "path")).alias("value"))
+    plus = F.when(F.length("path") % 5 == 0, "-").otherwise(F.col("added").cast("string"))
+    numbers = d.select("repo", F.concat_ws("\t", plus, F.col("deleted").cast("string"), F.when(
+        renamed, F.concat(F.lit("old/"), "path", F.lit(" => "), "path")).otherwise(F.col("path"))).alias("value"))
+    return vcs.diff(names, numbers)
+
+
+@bound("status_source", """
+select repo, rel as path, ['?','U','U','M','A','M','D','R'][1 + id % 8] as status from b_files""")
+def status_source(spark, sf):
+    from ..sources import vcs
+
+    codes = F.array(*[F.lit(c) for c in ("??", "UU", "AA", " M", "A ", "AM", " D", "R ")])
+    xy = F.get(codes, (F.col("id") % 8).cast("int"))
+    old = F.when(F.col("id") % 8 == 7, "old.go -> ").otherwise("")
+    return vcs.parse_status(views.files(spark, sf).select("repo", F.concat(xy, F.lit(" "), old, "rel").alias("value")))
+
+
+# ---- reports ----------------------------------------------------------------------------
+
+
+@bound("report_tour_layout", """
+with n as (select string_split(rel,'/')[1] as path, count(*) as files from b_files group by 1)
+select 'corpus' as repo, path, files from n order by path limit 4""")
+def report_tour_layout(spark, sf):
+    from . import reports
+
+    files = views.files(spark, sf)
+    texts = files.select("repo", "rel", F.lit("").alias("content"))
+    r = reports.tour(files, texts, views.edges(spark, sf), files, 4)
+    return r.select("repo", F.explode("layout").alias("l")).select("repo", "l.path", "l.files")
+
+
+@bound("report_tour_reading", USED_BY + """, step as (
+  select f.rel as path, 'used by ' || u.used_by || case when u.used_by = 1 then ' file' else ' files' end as reason,
+    row_number() over (order by u.used_by desc, f.rel) as rank, count(*) over () as n
+  from used u join b_files f using (id) where not f.is_test)
+select 'corpus' as repo, path, reason, greatest(n - 8, 0) as omitted from step where rank <= 8""")
+def report_tour_reading(spark, sf):
+    from . import reports
+
+    files = views.files(spark, sf)
+    texts = files.select("repo", "rel", F.lit("").alias("content"))
+    r = reports.tour(files, texts, views.edges(spark, sf), files, 8)
+    return r.select("repo", F.explode("readingOrder").alias("s"), F.col("omittedReading").alias("omitted")).select("repo", "s.path", "s.reason", "omitted")
+
+
+@bound("report_key_files", USED_BY + """, l as (
+  select f.rel || ' (used by ' || u.used_by || ')' as line, row_number() over (order by u.used_by desc, f.rel) as k
+  from used u join b_files f using (id) where not f.is_test),
+c as (select *, sum((strlen(line) + 4) // 4) over (order by k) + (strlen(chr(10) || '## key files (most used first)' || chr(10)) + 3) // 4 as used from l)
+select 'corpus' as repo, chr(10) || '## key files (most used first)' || chr(10) || string_agg(line, chr(10) order by k) || chr(10) as text
+from c where used <= 300""")
+def report_key_files(spark, sf):
+    from . import reports
+
+    files = views.files(spark, sf)
+    none = files.select("repo", "rel", F.array().cast("array<string>").alias("symbols"))
+    budget = files.select("repo").distinct().withColumn("tokens", F.lit(300))
+    return reports.key_file_lines(views.edges(spark, sf), files, none, budget)
+
+
+@bound("report_structure")
+def report_structure(spark, sf):
+    from ..operators.structure import structure
+
+    files = views.files(spark, sf)
+    return structure(files, files.select("repo").distinct().withColumn("tokens", F.lit(2000)))
+
+
+@bound("report_ai_map")
+def report_ai_map(spark, sf):
+    from . import reports
+
+    files = views.files(spark, sf)
+    texts = files.select("repo", "rel", F.lit("").alias("content"))
+    none = files.select("repo", "rel", F.array().cast("array<string>").alias("symbols"))
+    return reports.ai_map(files, texts, views.edges(spark, sf), files, none, 2500, views.touches(spark, sf))
+
+
+@bound("report_hotspots", ALL + """, m as (select *, max(commits) over (partition by is_dir) as top from churn)
+select repo, path, is_dir, commits, top as max_commits, cast((commits*8-1)//top + 1 as integer) as level,
+  substr('▁▂▃▄▅▆▇█', cast((commits*8-1)//top + 1 as bigint), 1) || ' ' || commits as bar,
+  cast(case when commits*3 > top*2 then 2 when commits*3 > top then 1 else 0 end as integer) as heat from m""")
+def report_hotspots(spark, sf):
+    from . import reports
+
+    return reports.hotspots(views.touches(spark, sf), views.files(spark, sf))
+
+
+@bound("report_diff_tree", DIFF_UP + """
+select 'corpus' as repo, dir as rel, true as is_dir, null as status, cast(sum(added) as bigint) as added, cast(sum(deleted) as bigint) as deleted,
+  count(*) as changes, false as truncated from up where dir <> '.' group by dir
+union all select repo, path, false, status, added, deleted, null, false from b_diff""")
+def report_diff_tree(spark, sf):
+    from . import reports
+
+    return reports.diff_tree(views.diff(spark, sf))
+
+
+@bound("report_file_tree", HIDDEN + """, vis as (select * from marked where hidden_at is null),
+up as (select rel, size, mtime, array_to_string(list_slice(string_split(rel,'/'),1,i),'/') as dir from vis, unnest(range(1, len(string_split(rel,'/')))) u(i)),
+every as (select rel, false as is_dir, size from vis union all select dir, true, cast(sum(size) as bigint) from up group by dir)
+select 'corpus' as repo, rel, is_dir, size, row_number() over (
+  partition by array_to_string(list_slice(string_split(rel,'/'),1,len(string_split(rel,'/'))-1),'/')
+  order by is_dir desc, size desc, string_split(rel,'/')[-1]) as pos from every""")
+def report_file_tree(spark, sf):
+    from . import reports
+
+    out = reports.file_tree(views.files(spark, sf), OPTIONS, sort="size", dirs_first=True)
+    return out.select("repo", "rel", "is_dir", "size", "pos")
+
+
+@bound("report_context_go", """
+with top as (select u.src_dir||'/'||tag||'.go' as rel, u.* from c_use u)
+select 'go' as repo, rel, '# ' || rel || chr(10) || case when src = dst then '1 dependency' else '2 dependencies' end ||
+  ' · 0 direct users · 0 tests reach it' || chr(10) || chr(10) || '## depends on (and what it uses from each)' || chr(10) ||
+  array_to_string(list_sort([src_dir||'/'||src_stem||'.go — uses F'||src||chr(10)||'  func F'||src||'(a, b int) int'||chr(10),
+    dst_dir||'/'||dst_stem||'.go — uses '||case when src_dir = dst_dir then '' else 'd.' end||'F'||dst||chr(10)||'  func F'||dst||'(a, b int) int'||chr(10)]), '') as text
+from top""")
+def report_context_go(spark, sf):
+    from ..resolve import graph as code_graph
+    from . import reports
+
+    contents = views.code(spark, sf, "go")
+    g = code_graph.build(contents)
+    starts = g.files.where("contains(rel, '/use_')").select("repo", "rel")
+    return reports.context(g, contents, code_graph.all_symbols(contents), starts)
+
+
+@bound("report_deps_why", """
+select repo, src as start, dst as rel, cast(1 as integer) as depth, cast(null as varchar) as via, 'imports ' || spec as reason from (
+  select 'js' as repo, prefix||src_dir||'/'||tag||ext as src, prefix||src_dir||'/'||src_stem||ext as dst, '../../'||src_dir||'/'||src_stem as spec from c_lang, c_use where repo='js'
+  union all select 'js', prefix||src_dir||'/'||tag||ext, prefix||dst_dir||'/'||dst_stem||ext, '../../'||dst_dir||'/'||dst_stem from c_lang, c_use where repo='js')""")
+def report_deps_why(spark, sf):
+    from ..resolve import graph as code_graph
+    from . import reports
+
+    g = code_graph.build(views.code(spark, sf, "js"))
+    starts = g.files.select("repo", "rel")
+    return reports.related(g, starts, reverse=False).drop("is_test")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators.rules import ArchRule
+from ..storage import stage
 
 REPO = "corpus"
 
@@ -173,8 +174,8 @@ def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir).join(a, "src").join(b, "dst").drop("repo")
 
 
-def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, rel, size, content) of the derived corpus."""
+def code(spark: SparkSession, sf_dir: str, repo: str | None = None) -> DataFrame:
+    """(repo, rel, size, content) of the derived corpus, written once as a corpus would be stored."""
     parts_, uses_ = _places(spark, sf_dir), _uses(spark, sf_dir)
     part_text = {
         "js": ("concat(dir, '/', stem, '.ts')",
@@ -211,7 +212,9 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"struct('{repo}' as repo, {rel} as rel, {text} as content)" for repo, (rel, text) in texts.items()) + "))"
     lone = spark.range(1).selectExpr(rows({k: (f"'{rel}'", f"'{text}'") for k, (rel, text) in fixed.items()}))
     out = parts_.selectExpr(rows(part_text)).unionByName(uses_.selectExpr(rows(use_text))).unionByName(lone)
-    return out.selectExpr("repo", "rel", "cast(octet_length(content) as bigint) as size", "content")
+    if repo is not None:
+        out = out.where(F.col("repo") == repo)
+    return stage(out.selectExpr("repo", "rel", "cast(octet_length(content) as bigint) as size", "content"), "code")[0]
 
 
 SQL += """,

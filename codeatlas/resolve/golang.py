@@ -47,8 +47,8 @@ def tables(contents: DataFrame, sources: DataFrame, manifests: DataFrame) -> GoT
     dirs = found.select("repo", "path", to_dir.alias("to_dir"))
     return GoTables(
         stage(files, "go-files")[0], toks, names, bound, src(go.declares(names)), src(go.methods(names)),
-        src(go.uses(toks, names, bound)), src(go.called(toks)),
-        src(imps).join(dirs, ["repo", "path"], "left"), src(go.selectors(toks, imps)),
+        stage(src(go.uses(toks, names, bound)), "go-uses")[0], src(go.called(toks)),
+        stage(src(imps).join(dirs, ["repo", "path"], "left"), "go-imports")[0], src(go.selectors(toks, imps)),
     )
 
 
@@ -99,7 +99,9 @@ def imported(t: GoTables) -> tuple[DataFrame, DataFrame]:
         F.max_by(F.struct("to_dir", "to_pkg"), "ord").alias("i")
     ).select("repo", "src", "pkg", "i.*")
     code = owners(t).where("not is_test").selectExpr("repo", "dir as to_dir", "pkg as to_pkg", "name", "owner as dst")
+    named, _ = stage(named, "go-named")
     picked = t.selectors.join(named, ["repo", "src", "pkg"]).join(code, ["repo", "to_dir", "to_pkg", "name"])
+    picked, _ = stage(picked, "go-picked")
     unresolved = named.select("repo", "src", "to_dir").distinct().join(
         picked.select("repo", "src", "to_dir").distinct(), ["repo", "src", "to_dir"], "left_anti"
     )

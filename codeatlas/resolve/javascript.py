@@ -135,24 +135,22 @@ def _alias_bases(asked: DataFrame, config: DataFrame) -> DataFrame:
     return aliased.unionByName(below)
 
 
-def _subpath(targets: Column, sub: Column) -> Column:
-    """The targets a map gives for ``sub``: its own key, else the pattern with the longest prefix."""
-    exact = F.get(F.filter(targets, lambda t: t["key"] == sub), 0)
+def _with_targets(df: DataFrame, mapping: str, sub: str) -> DataFrame:
+    """Add ``targets``: what a map gives for a subpath, by its own key or the pattern with the longest prefix."""
+    text = F.col(sub)
+    key_pre = lambda t: F.substring_index(t["key"], "*", 1)
     wild = F.transform(
-        F.filter(targets, lambda t: t["key"].contains("*")),
+        F.filter(F.col(mapping), lambda t: t["key"].contains("*")),
         lambda t: F.struct(
-            (-F.length(F.substring_index(t["key"], "*", 1))).alias("order"), t["key"].alias("pattern"),
-            F.substring_index(t["key"], "*", 1).alias("pre"),
-            F.substring(t["key"], F.length(F.substring_index(t["key"], "*", 1)) + 2, F.length(t["key"])).alias("post"),
-            t["targets"].alias("targets"),
+            (-F.length(key_pre(t))).alias("order"), t["key"].alias("pattern"), key_pre(t).alias("pre"),
+            F.substring(t["key"], F.length(key_pre(t)) + 2, F.length(t["key"])).alias("post"), t["targets"].alias("targets"),
         ),
     )
-    best = F.get(F.array_sort(F.filter(wild, lambda p: _matches(p, sub))), 0)
-    filled = lambda t, star: F.replace(t, F.lit("*"), star)
-    none = F.array().cast("array<string>")
-    return F.when(exact.isNotNull(), F.transform(exact["targets"], lambda t: filled(t, F.lit("")))).when(
-        best.isNotNull(), F.transform(best["targets"], lambda t: filled(t, _star_text(best, sub)))
-    ).otherwise(none)
+    df = df.withColumn("_exact", F.get(F.filter(mapping, lambda t: t["key"] == text), 0)["targets"])
+    df = df.withColumn("_wild", F.get(F.array_sort(F.filter(wild, lambda p: _matches(p, text))), 0))
+    df = df.withColumn("_star", F.when(F.col("_exact").isNull(), _star_text(F.col("_wild"), text)).otherwise(F.lit("")))
+    raw = F.coalesce("_exact", "_wild.targets", F.array().cast("array<string>"))
+    return df.withColumn("targets", F.transform(raw, lambda t: F.replace(t, F.lit("*"), F.col("_star")))).drop("_exact", "_wild", "_star")
 
 
 def _package_bases(asked: DataFrame, packages: DataFrame) -> DataFrame:
@@ -162,11 +160,11 @@ def _package_bases(asked: DataFrame, packages: DataFrame) -> DataFrame:
     )
     rows = asked.join(longest_prefix(asked, "spec", known), ["repo", "spec"])
     sub = F.concat(F.lit("."), F.substring(F.col("spec"), F.length("key") + 1, F.length("spec")))
-    rows = rows.withColumn("sub", sub)
+    rows = _with_targets(rows.withColumn("sub", sub), "p.exports", "sub")
     plain = F.when(F.col("sub") == ".", F.concat("p.entry", F.array(F.lit("index"), F.lit("src/index")))).otherwise(
         F.array(F.col("sub"), F.concat(F.lit("src/"), F.col("sub")))
     )
-    rows = rows.withColumn("targets", F.when(F.col("p.exports").isNotNull(), _subpath(F.col("p.exports"), F.col("sub"))).otherwise(plain))
+    rows = rows.withColumn("targets", F.when(F.col("p.exports").isNotNull(), F.col("targets")).otherwise(plain))
     return rows.select(
         "repo", "dir", "spec", F.lit(1).alias("o"),
         F.posexplode(F.transform("targets", lambda t: paths.join(F.col("p.at"), t))).alias("i", "base"),
@@ -182,30 +180,40 @@ def _first_base(bases: DataFrame, sources: DataFrame, keys: list[str], order: li
 
 
 def resolve(specs: DataFrame, sources: DataFrame, contents: DataFrame) -> DataFrame:
-    """Links of JavaScript and TypeScript specs."""
+    """Links of JavaScript and TypeScript specs. Corpora without configs or packages skip those joins."""
     keys = ["repo", "dir", "spec"]
-    asked = specs.where("lang = 'js'").select(*keys).distinct()
-    packages, _ = stage(js_packages(contents), "js-packages")
-    relative = asked.where(F.col("spec").startswith(".")).select(
+    asked, n = stage(
+        specs.where("lang = 'js'").select(*keys).distinct(), "js-asked",
+        hashed=F.expr("count_if(spec like '#%')"), bare=F.expr("count_if(spec not like '#%' and spec not like '.%')"),
+    )
+    bases = asked.where(F.col("spec").startswith(".")).select(
         *keys, F.lit(0).alias("o"), F.lit(0).alias("i"), paths.join(F.col("dir"), F.col("spec")).alias("base")
     )
-    hashed = asked.where(F.col("spec").startswith("#"))
-    owner = nearest(hashed.select("repo", "dir").distinct(), packages.groupBy("repo", "at").agg(F.first("imports").alias("imports")), F.col("imports"))
-    none = F.array().cast("array<string>")
-    mapped = hashed.join(owner, ["repo", "dir"]).select(
-        *keys, "at", F.posexplode(F.coalesce(_subpath(F.col("value"), F.col("spec")), none)).alias("t", "to")
-    )
-    files_of = mapped.where(F.col("to").startswith("./")).select(*keys, "t", paths.join(F.col("at"), F.col("to")).alias("base"))
-    outside = mapped.where(~F.col("to").rlike(r"\A(#|/|\.\./|\./)"))
-
-    bare = asked.where(~F.col("spec").rlike(r"\A[.#]")).unionByName(
-        outside.select("repo", "dir", F.col("to").alias("spec"))
-    ).distinct()
-    bases = _alias_bases(bare, configs(contents, packages)).unionByName(_package_bases(bare, packages)).unionByName(relative)
-    direct, _ = stage(_first_base(bases, sources, keys, ["o", "i"]), "js-direct")
-    inner = _first_base(files_of, sources, [*keys, "t"], ["t"]).unionByName(
-        outside.join(direct.select("repo", "dir", F.col("spec").alias("to"), "target"), ["repo", "dir", "to"]).select(*keys, "t", "target")
-    )
-    through_hash = inner.groupBy(*keys).agg(F.min_by("target", "t").alias("target"))
-    found = direct.where(~F.col("spec").startswith("#")).unionByName(through_hash)
+    if not (n["hashed"] or n["bare"]):
+        return links(specs.where("lang = 'js'"), _first_base(bases, sources, keys, ["o", "i"]), ["dir", "spec"])
+
+    packages, p = stage(js_packages(contents), "js-packages")
+    bare = asked.where(~F.col("spec").rlike(r"\A[.#]"))
+    if n["hashed"] and p["rows"]:
+        mapped = _hash_targets(asked.where(F.col("spec").startswith("#")), packages)
+        outside = mapped.where(~F.col("to").rlike(r"\A(#|/|\.\./|\./)"))
+        bare = bare.unionByName(outside.select("repo", "dir", F.col("to").alias("spec"))).distinct()
+    bases = bases.unionByName(_alias_bases(bare, configs(contents, packages)))
+    if p["rows"]:
+        bases = bases.unionByName(_package_bases(bare, packages))
+    found, _ = stage(_first_base(bases, sources, keys, ["o", "i"]), "js-direct")
+    if n["hashed"] and p["rows"]:
+        files_of = mapped.where(F.col("to").startswith("./")).select(*keys, "t", paths.join(F.col("at"), F.col("to")).alias("base"))
+        inner = _first_base(files_of, sources, [*keys, "t"], ["t"]).unionByName(
+            outside.join(found.select("repo", "dir", F.col("spec").alias("to"), "target"), ["repo", "dir", "to"]).select(*keys, "t", "target")
+        )
+        found = found.unionByName(inner.groupBy(*keys).agg(F.min_by("target", "t").alias("target")))
     return links(specs.where("lang = 'js'"), found, ["dir", "spec"])
+
+
+def _hash_targets(hashed: DataFrame, packages: DataFrame) -> DataFrame:
+    """(repo, dir, spec, at, t, to): what the nearest package.json maps a ``#name`` to, in order."""
+    every = packages.groupBy("repo", "at").agg(F.first("imports").alias("imports"))
+    owner = nearest(hashed.select("repo", "dir").distinct(), every, F.col("imports"))
+    rows = _with_targets(hashed.join(owner, ["repo", "dir"]), "value", "spec")
+    return stage(rows.select("repo", "dir", "spec", "at", F.posexplode("targets").alias("t", "to")), "js-hash")[0]
