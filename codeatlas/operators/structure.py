@@ -61,7 +61,7 @@ def _folder_lines(files: DataFrame) -> DataFrame:
 
 def _fit(batch: pd.DataFrame) -> pd.DataFrame:
     """One repo's round: open folders in order while they fit."""
-    batch = batch.sort_values("key")
+    batch = batch.sort_values(["round", "key"])
     used, room = int(batch["used"].iloc[0]), int(batch["room"].iloc[0])
     opened = []
     for delta in batch["delta"]:
@@ -105,15 +105,20 @@ def structure(files: DataFrame, budget: DataFrame) -> DataFrame:
 
 
 def _rounds(lines: DataFrame, repos: DataFrame) -> DataFrame:
-    """(repo, rel) of the folders that are opened."""
+    """(repo, rel) of the folders that are opened.
+
+    Folders are taken in the order they were found: by round, then by their parents' order, then name.
+    """
     state = repos.where("not whole").select("repo", "used", "room")
     waiting = lines.where("dir = '.'").join(state.select("repo"), "repo", "left_semi").select(
-        "repo", "rel", "delta", F.col("low").alias("late"), F.array(paths.walk_key(F.col("rel"))).alias("key")
+        "repo", "rel", "delta", F.col("low").alias("late"), F.lit(0).alias("round"), paths.walk_key(F.col("rel")).alias("key")
     )
     waiting, size = checkpoint(waiting, "octet_length(rel)")
     opened = None
-    schema = "repo string, rel string, key array<string>, opened boolean, used bigint"
+    schema = "repo string, rel string, key string, opened boolean, used bigint"
+    turn = 0
     while size["rows"]:
+        turn += 1
         # A repo takes its own code first; what waits for leftovers goes when nothing else is left.
         busy = waiting.where("not late").select("repo").distinct()
         now = waiting.where("not late").unionByName(waiting.join(busy, "repo", "left_anti"))
@@ -125,7 +130,8 @@ def _rounds(lines: DataFrame, repos: DataFrame) -> DataFrame:
         state = state.join(fitted.groupBy("repo").agg(F.max("used").alias("_u")), "repo", "left").select(
             "repo", F.coalesce("_u", "used").alias("used"), "room")
         children = lines.join(newly.select("repo", F.col("rel").alias("dir"), F.col("key").alias("_key")), ["repo", "dir"]).select(
-            "repo", "rel", "delta", F.col("low").alias("late"), F.concat("_key", F.array(paths.walk_key(F.col("rel")))).alias("key")
+            "repo", "rel", "delta", F.col("low").alias("late"), F.lit(turn).alias("round"),
+            F.concat_ws("\u0000", "_key", paths.walk_key(F.col("rel"))).alias("key"),
         )
         rest = waiting.join(now.select("repo", "rel"), ["repo", "rel"], "left_anti")
         waiting, size = checkpoint(rest.unionByName(children), "octet_length(rel)")

@@ -16,9 +16,12 @@ from ..operators import declarations, explain, impact, ranking, testplan, tree
 from ..operators import graph as graph_ops
 from ..operators.structure import structure
 from ..resolve.graph import CodeGraph, declarations as go_declarations
+from ..storage import stage
 
 
-def related(graph: CodeGraph, starts: DataFrame, reverse: bool, depth: int | None = 1, no_tests: bool = False) -> DataFrame:
+def related(
+    graph: CodeGraph, starts: DataFrame, reverse: bool, depth: int | None = 1, no_tests: bool = False, reasons: DataFrame | None = None
+) -> DataFrame:
     """What each of ``starts(repo, rel)`` depends on, or with ``reverse`` what depends on it, and why.
 
     (repo, start, rel, depth, via, reason, is_test).
@@ -28,7 +31,8 @@ def related(graph: CodeGraph, starts: DataFrame, reverse: bool, depth: int | Non
     hits = graph_ops.reach(
         graph.edges, graph.files, seeds, reverse=reverse, depth=depth, no_tests=no_tests, parents=True, fixtures=fixtures
     )
-    return explain.explain(hits, explain.edge_reasons(graph), reverse).select(
+    reasons = explain.edge_reasons(graph) if reasons is None else reasons
+    return explain.explain(hits, reasons, reverse).select(
         "repo", "start", "rel", "depth", "via", "reason", "is_test"
     )
 
@@ -55,11 +59,14 @@ def impact_report(graph: CodeGraph, contents: DataFrame, changes: DataFrame, dep
     return out
 
 
-def used_signatures(graph: CodeGraph, contents: DataFrame, symbols: DataFrame, links: DataFrame) -> DataFrame:
+def used_signatures(
+    contents: DataFrame, symbols: DataFrame, links: DataFrame, names: DataFrame | None
+) -> DataFrame:
     """(repo, src, dst, ord, symbol): declarations of ``dst`` that ``src`` uses, for ``links(repo, src, dst)``.
 
     Go names are exact; elsewhere a declaration counts when its name occurs in the text. Names are
-    matched as equi-joins with the words of a text, never text by text.
+    matched as equi-joins with the words of a text, never text by text. ``names`` are the exact
+    names along Go links, if the corpus has any.
     """
     pair = ["repo", "src", "dst"]
     each = symbols.select("repo", F.col("rel").alias("dst"), F.posexplode("symbols").alias("ord", "symbol"))
@@ -71,10 +78,9 @@ def used_signatures(graph: CodeGraph, contents: DataFrame, symbols: DataFrame, l
         "repo", F.col("rel").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))).alias("name")
     )
     said = rows.join(words.withColumn("said", F.lit(True)), ["repo", "src", "name"], "left")
-    if graph.go is not None:
-        exact = explain.used_names(graph).join(links.select(*pair), pair, "left_semi").select(*pair, "name").distinct()
-    else:
-        exact = links.select(*pair, F.lit("").alias("name")).limit(0)
+    if names is None:
+        return said.where("said").select(*pair, "ord", "symbol")
+    exact = names.join(links.select(*pair), pair, "left_semi").select(*pair, "name").distinct()
     said = said.join(exact.withColumn("exact", F.lit(True)), [*pair, "name"], "left")
     said = said.join(exact.select(*pair, F.col("name").alias("recv"), F.lit(True).alias("typed")), [*pair, "recv"], "left")
     known = exact.select(*pair).distinct().withColumn("named", F.lit(True))
@@ -128,12 +134,16 @@ def context(graph: CodeGraph, contents: DataFrame, symbols: DataFrame, starts: D
     sections are cut per task before they are gathered, and only their length is kept.
     """
     start = starts.select("repo", F.col("rel").alias("start"))
-    deps = related(graph, starts, reverse=False)
-    users = related(graph, starts, reverse=True).where("not is_test")
+    names = None if graph.go is None else stage(explain.used_names(graph), "used-names")[0]
+    reasons, _ = stage(explain.edge_reasons(graph, names), "reasons")
+    deps, _ = stage(related(graph, starts, reverse=False, reasons=reasons), "deps")
+    users, _ = stage(related(graph, starts, reverse=True, reasons=reasons).where("not is_test"), "users")
+    symbols, _ = stage(symbols, "symbols")
     reach = graph_ops.reach(
         graph.edges, graph.files, start.withColumn("id", F.col("start")), reverse=True, fixtures=graph_ops.fixture_links(graph.files)
     )
-    sigs = used_signatures(graph, contents, symbols, deps.select("repo", F.col("start").alias("src"), F.col("rel").alias("dst")))
+    links = deps.select("repo", F.col("start").alias("src"), F.col("rel").alias("dst"))
+    sigs, _ = stage(used_signatures(contents, symbols, links, names), "signatures")
     why = lambda: F.concat("rel", F.coalesce(F.concat(F.lit(" — "), "reason"), F.lit("")))
     lines = lambda df, sec, order, line: df.select("repo", "start", F.lit(sec).alias("sec"), F.struct(*order).cast(_ORDER).alias("o"), line.alias("line"))
     zero, low = F.lit(0).alias("b"), lambda c: F.col(c).cast("long")
@@ -161,6 +171,7 @@ def context(graph: CodeGraph, contents: DataFrame, symbols: DataFrame, starts: D
     every = dep_lines
     for more in (sig_lines, user_lines, go_line, test_lines, more_tests, own_lines):
         every = every.unionByName(more)
+    every, _ = stage(every, "context-lines")
     shown = ranking.top(every, ["repo", "start", "sec"], [F.col("o")], budget, "_n")
     per = every.groupBy("repo", "start", "sec").agg(F.count(F.lit(1)).alias("total")).join(
         shown.groupBy("repo", "start", "sec").agg(F.expr("transform(array_sort(collect_list(struct(_n, line))), s -> s.line) as lines")), ["repo", "start", "sec"])
