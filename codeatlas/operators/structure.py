@@ -10,7 +10,7 @@ bounds, never over a whole repository.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, paths
@@ -67,7 +67,7 @@ def _fit(batch: pd.DataFrame) -> pd.DataFrame:
     for delta in batch["delta"]:
         opened.append(used + delta <= room)
         used += delta if opened[-1] else 0
-    return batch.assign(opened=opened, used=used)[["repo", "rel", "key", "opened", "used"]]
+    return batch.assign(opened=opened, used=used)[["repo", "rel", "round", "key", "opened", "used"]]
 
 
 def structure(files: DataFrame, budget: DataFrame) -> DataFrame:
@@ -104,6 +104,11 @@ def structure(files: DataFrame, budget: DataFrame) -> DataFrame:
     return text.join(repos, "repo").select("repo", F.when(over, F.concat("text", F.lit(TRUNCATED))).otherwise(F.col("text")).alias("text"))
 
 
+def _key() -> Column:
+    """Sorts like the path's elements, with room for a lower separator between keys."""
+    return F.translate("rel", "/", "\u0002")
+
+
 def _rounds(lines: DataFrame, repos: DataFrame) -> DataFrame:
     """(repo, rel) of the folders that are opened.
 
@@ -111,11 +116,11 @@ def _rounds(lines: DataFrame, repos: DataFrame) -> DataFrame:
     """
     state = repos.where("not whole").select("repo", "used", "room")
     waiting = lines.where("dir = '.'").join(state.select("repo"), "repo", "left_semi").select(
-        "repo", "rel", "delta", F.col("low").alias("late"), F.lit(0).alias("round"), paths.walk_key(F.col("rel")).alias("key")
+        "repo", "rel", "delta", F.col("low").alias("late"), F.lit(0).alias("round"), _key().alias("key")
     )
     waiting, size = checkpoint(waiting, "octet_length(rel)")
     opened = None
-    schema = "repo string, rel string, key string, opened boolean, used bigint"
+    schema = "repo string, rel string, round int, key string, opened boolean, used bigint"
     turn = 0
     while size["rows"]:
         turn += 1
@@ -125,13 +130,13 @@ def _rounds(lines: DataFrame, repos: DataFrame) -> DataFrame:
         fitted, _ = checkpoint(
             now.join(state, "repo").groupBy("repo").applyInPandas(_fit, schema), "octet_length(rel)"
         )
-        newly = fitted.where("opened").select("repo", "rel", "key")
+        newly = fitted.where("opened").select("repo", "rel", F.concat(F.lpad(F.col("round").cast("string"), 9, "0"), "key").alias("key"))
         opened = newly if opened is None else opened.unionByName(newly)
         state = state.join(fitted.groupBy("repo").agg(F.max("used").alias("_u")), "repo", "left").select(
             "repo", F.coalesce("_u", "used").alias("used"), "room")
         children = lines.join(newly.select("repo", F.col("rel").alias("dir"), F.col("key").alias("_key")), ["repo", "dir"]).select(
             "repo", "rel", "delta", F.col("low").alias("late"), F.lit(turn).alias("round"),
-            F.concat_ws("\u0000", "_key", paths.walk_key(F.col("rel"))).alias("key"),
+            F.concat_ws("\u0001", "_key", _key()).alias("key"),
         )
         rest = waiting.join(now.select("repo", "rel"), ["repo", "rel"], "left_anti")
         waiting, size = checkpoint(rest.unionByName(children), "octet_length(rel)")

@@ -1156,7 +1156,7 @@ def report_context_go(spark, sf):
     contents = views.code(spark, sf, "go")
     g = code_graph.build(contents)
     starts = g.files.where("contains(rel, '/use_')").select("repo", "rel")
-    return reports.context(g, contents, code_graph.all_symbols(contents), starts)
+    return reports.context(g, contents, code_graph.all_symbols(contents, g), starts)
 
 
 @bound("report_deps_why", """

@@ -62,13 +62,20 @@ def build(contents: DataFrame, files: DataFrame | None = None, tests: bool = Tru
     return CodeGraph(sources, stage(distinct_edges(edges), "edges")[0], specs, links, go)
 
 
-def all_symbols(contents: DataFrame) -> DataFrame:
-    """(repo, rel, symbols): the declarations of every source file, exported Go ones first."""
+def all_symbols(contents: DataFrame, graph: CodeGraph | None = None) -> DataFrame:
+    """(repo, rel, symbols): the declarations of every source file, exported Go ones first.
+
+    A ``graph`` of the same contents lends its Go tokens.
+    """
     from ..extract import decls, golang as go
 
     texts = readable(contents)
-    toks = go.staged_tokens(texts)
-    return decls.symbols(texts).unionByName(go.signature_symbols(toks, stage(go._names(toks), "go-names")[0]))
+    if graph is not None and graph.go is not None:
+        toks, names = graph.go.tokens, graph.go.names
+    else:
+        toks = go.staged_tokens(texts)
+        names, _ = stage(go._names(toks), "go-names")
+    return decls.symbols(texts).unionByName(go.signature_symbols(toks, names))
 
 
 def declarations(graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
