@@ -146,7 +146,7 @@ def unescape(text: Column) -> Column:
     out = text
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    return F.when(text.contains("&"), out).otherwise(text)
 
 
 def first_sentences(text: Column, limit: int = 200) -> Column:
