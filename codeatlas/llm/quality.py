@@ -101,6 +101,9 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that break no rule, as they came."""
-    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    names = {c: f"_q_in_{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("text"))
-    return judged(renamed, rules).where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
+    # The row number keeps the optimizer from moving the test below the projections, which would write every measure out
+    # again wherever it is used.
+    marked = judged(renamed, rules).withColumn("_q_row", F.monotonically_increasing_id())
+    return marked.where("kept and _q_row >= 0").select(*[F.col(n).alias(c) for c, n in names.items()])
