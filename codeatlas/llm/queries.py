@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, pii, quality, simhash
-from .common import table
+from . import bpe, decontaminate, hilbert, langid, pii, quality, simhash, suffix_tree, toxicity
+from .common import remainder, table
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a model of the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model, base = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.flagged(toxicity.score(docs, model, base), model).select(
+        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.PREDICT).cast("int").alias("predicted"), "threshold", "flagged",
+    )
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +28,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model of the languages that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and all spans of personal data for every document."""
     base = tuple(k.name for k in pii.KINDS if k.base)
@@ -40,6 +57,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document along the curve."""
+    return hilbert.shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and suffix-tree scores of every document."""
+    return suffix_tree.learned_scores(table(spark, sf_dir, "documents")).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
     out = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -58,6 +89,10 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
     "op10_byte_bpe": op10_byte_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op5_language": op5_language,
+    "op8_hilbert_shards": op8_hilbert_shards,
+    "op9_suffix_tree": op9_suffix_tree,
     "op4_quality_rules": op4_quality_rules,
     "op7_pii": op7_pii,
     "pipeline": pipeline,
