@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, hilbert, langid, pii, quality, simhash, suffix_tree, toxicity
+from . import bpe, decontaminate, hilbert, langid, pii, quality, repeats, simhash, suffix_tree, toxicity
 from .common import remainder, table
 
 
@@ -35,6 +35,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that also start earlier."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and all spans of personal data for every document."""
     base = tuple(k.name for k in pii.KINDS if k.base)
@@ -91,6 +99,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op5_language": op5_language,
+    "op6_repeats": op6_repeats,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_suffix_tree": op9_suffix_tree,
     "op4_quality_rules": op4_quality_rules,
