@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions import paths
+from ..functions import labels, paths
 from .imports import js_code
 
 _TARGETS = ArrayType(StructType([StructField("key", StringType()), StructField("targets", ArrayType(StringType()))]))
@@ -28,7 +28,8 @@ def go_modules(contents: DataFrame) -> DataFrame:
     """(repo, key, dir): module paths of go.mod files; the shallowest folder has a repeated one."""
     rel = F.col("rel")
     name = F.regexp_extract("content", r'(?md)^[^\S\n]*module[ ]+"?([^"\n]*?)"?[^\S\n]*$', 1)
-    mods = contents.where(paths.base(rel) == "go.mod").select("repo", F.trim(name).alias("key"), paths.parent(rel).alias("dir"), "rel")
+    own = (paths.base(rel) == "go.mod") & ~paths.in_folder(rel, labels.SKIPPED_DIRS)
+    mods = contents.where(own).select("repo", F.trim(name).alias("key"), paths.parent(rel).alias("dir"), "rel")
     return mods.where("key <> ''").groupBy("repo", "key").agg(
         F.min_by("dir", F.struct(paths.depth(rel), paths.walk_key(rel))).alias("dir")
     )

@@ -73,7 +73,7 @@ def language(path: Column) -> Column:
     return F.coalesce(
         lookup(name, LANGUAGE_BY_NAME),
         F.when((e == "") | (e == name), F.lit(None)).otherwise(
-            F.coalesce(lookup(e, LANGUAGE_BY_EXT), F.upper(F.substring(e, 2, 1 << 20)))
+            F.coalesce(lookup(e, LANGUAGE_BY_EXT), F.upper(F.substring(e, F.lit(2), F.length(e))))
         ),
     )
 

@@ -143,9 +143,21 @@ ENTITIES = {
 
 def unescape(text: Column) -> Column:
     """Replace HTML entities, ``&amp;`` last so nothing is unescaped twice."""
-    out = text
+    named = text
     for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
+        if name != "&amp;":
+            named = F.replace(named, F.lit(name), F.lit(char))
+    # Numbers by rule: the pieces between them, with each number's character in its place.
+    number = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+    gaps, hits = F.split(named, number), F.regexp_extract_all(named, F.lit(number), F.lit(0))
+    point = lambda e: F.when(
+        F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.substring(e, F.lit(4), F.length(e) - 4), 16, 10)
+    ).otherwise(F.substring(e, F.lit(3), F.length(e) - 3)).cast("int")
+    utf32 = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE")
+    valid = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
+    chars = F.transform(hits, lambda e: F.when(valid(point(e)), utf32(point(e))).otherwise(F.lit("\ufffd")))
+    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(chars, i), F.lit("")))), "")
+    out = F.replace(F.when(F.size(hits) > 0, joined).otherwise(named), F.lit("&amp;"), F.lit("&"))
     return F.when(text.contains("&"), out).otherwise(text)
 
 

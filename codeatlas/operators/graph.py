@@ -117,7 +117,7 @@ def reach(
     seen, seen_bytes = starts.select("repo", "start", "id"), size["bytes"]
     levels: list[DataFrame] = []
     while size["rows"] and (depth is None or len(levels) < depth):
-        here = small(_positioned(frontier, size["rows"]) if parents else frontier, size["bytes"])
+        here = small(_positioned(frontier) if parents else frontier, size["bytes"])
         fresh = _next_level(here, links, parents).join(small(seen, seen_bytes), ["repo", "start", "id"], "left_anti")
         frontier, size = checkpoint(fresh, ROW_BYTES)
         if size["rows"]:
@@ -129,8 +129,6 @@ def reach(
 
 # Bytes of one frontier row for the broadcast check: its path twice, and the fixed columns.
 ROW_BYTES = "2 * octet_length(rel) + 200"
-# A level of at most this many rows is numbered by a plain window; a larger one by a range sort.
-WINDOW_ROWS = 100_000
 
 
 def _seeds(links: DataFrame, files: DataFrame, starts: DataFrame) -> DataFrame:
@@ -148,12 +146,8 @@ def _seeds(links: DataFrame, files: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def _positioned(frontier: DataFrame, rows: int) -> DataFrame:
+def _positioned(frontier: DataFrame) -> DataFrame:
     """Add ``pos``, the order in which a level was discovered."""
-    if rows <= WINDOW_ROWS:
-        return frontier.selectExpr(
-            "*", "cast(row_number() over (partition by repo, start order by parent_pos, fixture, walk) as bigint) as pos"
-        )
     # Ids that increase along a range-sorted table keep the order without one task per start.
     return frontier.orderBy("repo", "start", "parent_pos", "fixture", "walk").selectExpr(
         "*", "monotonically_increasing_id() as pos"

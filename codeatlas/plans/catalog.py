@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,12 +52,7 @@ def rank_used_by(spark, sf):
 
 @bound("edges_distinct", "select repo, src, dst from b_edges")
 def edges_distinct(spark, sf):
-    items = views.table(spark, sf, "lineitem")
-    a = items.where("l_quantity <= 2").select(
-        F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").alias("src")
-    )
-    b = items.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("dst"))
-    return graph.distinct_edges(a.join(b, ["o", "n"]).withColumn("repo", F.lit(views.REPO)))
+    return graph.distinct_edges(views.links(spark, sf))
 
 
 @bound("used_by", USED_BY + "\nselect 'corpus' as repo, id, used_by from used")
@@ -132,15 +128,16 @@ def dependents_depth2(spark, sf):
 
 @bound("reach_all_seeds", """
 with walk(start, id, depth) as (
-  select id, id, 0 from b_hubs
+  select id, id, 0 from b_files
   union
-  select w.start, e.src, w.depth + 1 from walk w join b_edges e on e.dst = w.id where w.depth < 60),
+  select w.start, e.src, w.depth + 1 from walk w join b_edges e on e.dst = w.id where w.depth < 2),
 near as (select start, id, min(depth) as depth from walk group by start, id)
 select f.repo, n.start, f.id, f.rel, f.is_test, cast(n.depth as integer) as depth
 from near n join b_files f using (id) where n.depth > 0""", recursive=True)
 def reach_all_seeds(spark, sf):
-    starts = views.hubs(spark, sf).withColumn("start", F.col("id"))
-    return graph.reach(views.edges(spark, sf), views.files(spark, sf), starts, reverse=True)
+    files = views.files(spark, sf)
+    starts = files.select("repo", F.col("id").alias("start"), "id")
+    return graph.reach(views.edges(spark, sf), files, starts, reverse=True, depth=2)
 
 
 # ---- impact -----------------------------------------------------------------------------
@@ -209,19 +206,17 @@ def go_test_packages(spark, sf):
 @bound("direct_importers", """
 with folder as (select id, rel, array_to_string(list_slice(string_split(rel,'/'),1,len(string_split(rel,'/'))-1),'/') as dir from b_files),
 changed as (select distinct f.dir from b_diff d join folder f on f.rel = d.path where d.status <> 'D' and d.path like '%.go'),
-hit as (select distinct f.* from b_edges e join b_hubs h on h.id = e.dst join folder f on f.id = e.src
-  union select distinct f.* from b_edges e join b_edges e2 on e2.dst = e.src join b_hubs h on h.id = e.dst join folder f on f.id = e2.src
-  union select f.* from folder f where f.id % 3 = 0),
+seed as (select distinct f.id from b_diff d join folder f on f.rel = d.path where d.status <> 'D' and d.path like '%.go'),
+hit as (select distinct f.* from b_edges e join seed s on s.id = e.dst join folder f on f.id = e.src where f.id not in (select id from seed)),
 go as (select * from hit where rel like '%.go' and dir not in (select dir from changed)),
 unsafe as (select distinct g.dir from go g join b_edges e on e.src = g.id join hit h on h.id = e.dst
   where h.dir <> g.dir and h.dir not in (select dir from changed))
 select distinct 'corpus' as repo, dir from go where dir not in (select dir from unsafe)""")
 def direct_importers(spark, sf):
-    files, edges, hubs = views.files(spark, sf), views.edges(spark, sf), views.hubs(spark, sf)
-    near = graph.one_hop(edges, files, hubs, reverse=True).select("repo", "id", "rel")
-    far = graph.one_hop(edges, files, near.select("repo", "id").distinct(), reverse=True).select("repo", "id", "rel")
-    hits = near.unionByName(far).unionByName(files.where("id % 3 = 0").select("repo", "id", "rel")).distinct()
-    dirs = _change(spark, sf).where("rel like '%.go'").select("repo", paths.parent(F.col("rel")).alias("dir"))
+    files, edges = views.files(spark, sf), views.edges(spark, sf)
+    go = _change(spark, sf).where("rel like '%.go'")
+    hits = impact.affected(edges, files, go, depth=1).select("repo", "id", "rel")
+    dirs = go.select("repo", paths.parent(F.col("rel")).alias("dir"))
     return impact.direct_importer_packages(edges, files, dirs, hits)
 
 
@@ -417,10 +412,9 @@ def skipped_entries(spark, sf):
 
 
 @bound("vcs_visible", """
-select repo, id, rel from b_files where rel in (select path from b_touches where ts >= timestamp '2001-01-01 00:00:00')""")
+select repo, id, rel from b_files where rel in (select path from b_touches)""")
 def vcs_visible(spark, sf):
-    recent = views.touches(spark, sf).where(F.col("ts") >= F.lit(SINCE).cast("timestamp_ntz"))
-    seen = tree.with_parents(recent.select("repo", "path"))
+    seen = tree.with_parents(views.touches(spark, sf).select("repo", "path"))
     options = tree.ScanOptions(vcs_aware=True)
     return tree.visible_files(views.files(spark, sf), options, seen).select("repo", "id", "rel")
 
@@ -435,10 +429,10 @@ def only_filter(spark, sf):
 
 
 @bound("changed_within", """
-select repo, id, rel from b_files where mtime >= timestamp '2024-10-01 00:00:00'""")
+select repo, id, rel from b_files where mtime >= timestamp '2024-03-01 00:00:00'""")
 def changed_within(spark, sf):
-    since = F.lit("2024-10-01 00:00:00").cast("timestamp_ntz")
-    return views.files(spark, sf).where(F.col("mtime") >= since).select("repo", "id", "rel")
+    options = tree.ScanOptions(since=datetime(2024, 3, 1), show_hidden=True, no_ignore=True)
+    return tree.visible_files(views.files(spark, sf), options).select("repo", "id", "rel")
 
 
 @bound("depth_truncate", UP.format(src="b_files") + """
@@ -627,10 +621,9 @@ def one_line(spark, sf):
 select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
   '!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])?', '\1', 'g'), '\*\*|__|`', '', 'g'),
   '\\([\\*_{}\[\]()#+.!-])', '\1', 'g'), '^[-*_> \x{2002}\x{2003}]+|[-*_> \x{2002}\x{2003}]+$', '', 'g') as plain
-from (select doc_id, replace(text, '&', '+') as x from documents)""")
+from (select doc_id, text as x from documents)""")
 def plain_text(spark, sf):
-    x = F.replace(F.col("text"), F.lit("&"), F.lit("+"))
-    return views.table(spark, sf, "documents").select("doc_id", text.plain_text(x).alias("plain"))
+    return views.table(spark, sf, "documents").select("doc_id", text.plain_text(F.col("text")).alias("plain"))
 
 
 @bound("first_sentences", r"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators.rules import ArchRule
+from ..sources.vcs import change_set
 from ..storage import stage
 
 REPO = "corpus"
@@ -36,13 +37,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, src, dst): consecutive lines of an order, where the first one is small."""
+    """(repo, src, dst): the parts of consecutive lines of an order."""
+    return links(spark, sf_dir).where("src <> dst").distinct()
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with repeats and self links."""
     items = table(spark, sf_dir, "lineitem")
-    a = items.where("l_quantity <= 2").select(
-        F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").alias("src")
-    )
+    a = items.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").alias("src"))
     b = items.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("dst"))
-    return a.join(b, ["o", "n"]).where("src <> dst").select(F.lit(REPO).alias("repo"), "src", "dst").distinct()
+    return a.join(b, ["o", "n"]).select(F.lit(REPO).alias("repo"), "src", "dst")
 
 
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,19 +59,25 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, path, status, added, deleted): what shipped since September 2001."""
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, source, rev, path, status, added, deleted): every line item changes a file, in the revision of its month."""
     status = F.when(F.col("l_returnflag") == "N", "M").when(F.col("l_returnflag") == "R", "D").otherwise("A")
-    changed = (
-        table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("2001-09-01").cast("timestamp_ntz"))
-        .groupBy(F.col("l_partkey").alias("id"))
-        .agg(
-            F.max(status).alias("status"), F.sum(F.floor("l_quantity")).cast("long").alias("added"),
-            F.sum("l_linenumber").cast("long").alias("deleted"),
-        )
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("id"), F.date_format("l_shipdate", "yyyy-MM").alias("rev"), status.alias("status"),
+        F.floor("l_quantity").cast("long").alias("added"), F.col("l_linenumber").cast("long").alias("deleted"),
+    )
+    return items.join(files(spark, sf_dir).select("id", F.col("rel").alias("path")), "id").select(
+        F.lit(REPO).alias("repo"), F.lit("diff").alias("source"), "rev", "path", "status", "added", "deleted"
     )
-    return changed.join(files(spark, sf_dir).select("id", F.col("rel").alias("path")), "id").select(
-        F.lit(REPO).alias("repo"), "path", "status", "added", "deleted"
+
+
+REVISION = "2001-10"
+
+
+def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, status, added, deleted): the files that one revision changed."""
+    return change_set(changes(spark, sf_dir), "diff", REVISION).groupBy("repo", "path").agg(
+        F.max("status").alias("status"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted")
     )
 
 
@@ -124,7 +134,7 @@ b_files as (
 b_edges as (
   select distinct 'corpus' as repo, a.l_partkey as src, b.l_partkey as dst
   from lineitem a join lineitem b on a.l_orderkey=b.l_orderkey and b.l_linenumber=a.l_linenumber+1
-  where a.l_quantity<=2 and a.l_partkey<>b.l_partkey),
+  where a.l_partkey<>b.l_partkey),
 b_touches as (
   select 'corpus' as repo, l_orderkey as commit_id, l_shipdate as ts, rel as path
   from lineitem join b_files on id=l_partkey),
@@ -133,7 +143,7 @@ b_diff as (
     max(case l_returnflag when 'N' then 'M' when 'R' then 'D' else 'A' end) as status,
     cast(sum(floor(l_quantity)) as bigint) as added, cast(sum(l_linenumber) as bigint) as deleted
   from lineitem join b_files on id=l_partkey
-  where l_shipdate >= timestamp '2001-09-01 00:00:00' group by rel),
+  where strftime(l_shipdate, '%Y-%m') = '2001-10' group by rel),
 b_rules(line, rule, from_re, to_re) as (
   values (1, 'economy/ -> small/', '^economy/.*$', '^small/.*$'),
          (2, '**/*.ts -> large/', '^(?:.*/)?[^/]*\\.ts$', '^large/.*$'),

@@ -213,7 +213,7 @@ def resolve(specs: DataFrame, sources: DataFrame, contents: DataFrame) -> DataFr
 
 def _hash_targets(hashed: DataFrame, packages: DataFrame) -> DataFrame:
     """(repo, dir, spec, at, t, to): what the nearest package.json maps a ``#name`` to, in order."""
-    every = packages.groupBy("repo", "at").agg(F.first("imports").alias("imports"))
+    every = packages.groupBy("repo", "at").agg(F.min("imports").alias("imports"))
     owner = nearest(hashed.select("repo", "dir").distinct(), every, F.col("imports"))
     rows = _with_targets(hashed.join(owner, ["repo", "dir"]), "value", "spec")
     return stage(rows.select("repo", "dir", "spec", "at", F.posexplode("targets").alias("t", "to")), "js-hash")[0]

@@ -11,7 +11,6 @@ from ..storage import stage
 from .common import first_existing, links
 
 MANIFESTS = ["pyproject.toml", "setup.py", "setup.cfg"]
-MAX_HOPS = 4  # a package may re-export what a subpackage re-exports, this often
 
 
 def roots(files: DataFrame) -> DataFrame:
@@ -105,13 +104,17 @@ def reexports(contents: DataFrame, sources: DataFrame, root_dirs: DataFrame) ->
 
 def _chase(heads: DataFrame, exports: DataFrame) -> DataFrame:
     """Follow ``heads(repo, dir, spec, pkg, name)`` through re-exports to the file that holds the name."""
-    done, open_ = None, heads
-    for _ in range(MAX_HOPS):
-        step = open_.join(exports.withColumnRenamed("init", "pkg"), ["repo", "pkg", "name"])
+    keys = ["repo", "dir", "spec", "pkg", "name"]
+    open_, size = stage(heads.select(*keys).distinct(), "py-open")
+    seen, done = open_, heads.where("false").select("repo", "dir", "spec", F.col("pkg").alias("target"))
+    while size["rows"]:
+        step, _ = stage(open_.join(exports.withColumnRenamed("init", "pkg"), ["repo", "pkg", "name"]), "py-step")
         final = (paths.base(F.col("to")) != "__init__.py") | (F.col("to") == F.col("pkg"))
-        here = step.where(final).select("repo", "dir", "spec", F.col("to").alias("target"))
-        done = here if done is None else done.unionByName(here)
-        open_ = step.where(~final).select("repo", "dir", "spec", F.col("to").alias("pkg"), F.col("to_name").alias("name"))
+        done = done.unionByName(step.where(final).select("repo", "dir", "spec", F.col("to").alias("target")))
+        onward = step.where(~final).select("repo", "dir", "spec", F.col("to").alias("pkg"), F.col("to_name").alias("name"))
+        # A place seen before closes a circle of re-exports.
+        open_, size = stage(onward.distinct().join(seen, keys, "left_anti"), "py-open")
+        seen = seen.unionByName(open_)
     return done
 
 

@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, paths
-from ..operators.ranking import number_rows
-
-# Bounds on what is analysed.
-MAX_FILES = 50_000
-MAX_BYTES = 512 << 10
 
 
 def read_folder(spark: SparkSession, root: str, with_repo: bool = True) -> DataFrame:
@@ -38,25 +33,15 @@ def selected(rel: Column, tests: bool) -> Column:
 
 
 def select_sources(files: DataFrame, tests: bool = True) -> DataFrame:
-    """(repo, id, rel, is_test): source files, per repo the first 50,000 in walk order.
-
-    Only repos over the bound are ranked at all, and those across tasks.
-    """
+    """(repo, id, rel, is_test): all source files."""
     rel = F.col("rel")
-    own = files.where(selected(rel, tests)).select("repo", rel.alias("id"), "rel", labels.is_test(rel).alias("is_test"))
-    over = own.groupBy("repo").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAX_FILES).select("repo")
-    if over.isEmpty():
-        return own
-    within = own.join(over, "repo", "left_anti")
-    ranked = number_rows(own.join(over, "repo", "left_semi"), ["repo"], [paths.walk_key(rel)], "_n")
-    return within.unionByName(ranked.where(F.col("_n") <= MAX_FILES).drop("_n"))
+    return files.where(selected(rel, tests)).select("repo", rel.alias("id"), "rel", labels.is_test(rel).alias("is_test"))
 
 
 def readable(contents: DataFrame) -> DataFrame:
-    """Texts small enough and not binary. The size is checked before the text is looked at."""
-    small = contents.where(F.col("size") <= MAX_BYTES)
+    """Contents as text, without binary files."""
     text = F.decode("content", "UTF-8") if dict(contents.dtypes)["content"] == "binary" else F.col("content")
-    return small.withColumn("content", text).where(F.instr("content", "\0") == 0)
+    return contents.withColumn("content", text).where(F.instr("content", "\0") == 0)
 
 
 def drop_special(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ def read_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
     return records.select(
         F.lit(repo).alias("repo"), F.get(head, 0).alias("commit_id"),
         F.timestamp_seconds(F.trim(F.get(head, 1)).cast("long")).alias("ts"),
-        F.explode(F.filter(F.slice(lines, 2, 1 << 30), lambda p: F.trim(p) != "")).alias("path"),
+        F.explode(F.filter(lines, lambda p, i: (i > 0) & (F.trim(p) != ""))).alias("path"),
     )
 
 
@@ -36,7 +36,7 @@ def parse_name_status(lines: DataFrame) -> DataFrame:
 def parse_numstat(lines: DataFrame) -> DataFrame:
     """(repo, path, added, deleted) of ``numstat`` lines; ``-`` of binary files counts as 0."""
     f = F.split("value", "\t")
-    number = lambda i: F.coalesce(F.try_to_number(F.get(f, i), F.lit("999999999999")).cast("long"), F.lit(0).cast("long"))
+    number = lambda i: F.coalesce(F.get(f, i).try_cast("long"), F.lit(0).cast("long"))
     raw = F.element_at(f, -1)
     # "dir/{old => new}/x" and "old => new" name the new path.
     braces = F.regexp_replace(raw, r"\{[^{}]* => ([^{}]*)\}", "$1")
@@ -63,12 +63,14 @@ def status_code(xy: Column) -> Column:
 def parse_status(lines: DataFrame) -> DataFrame:
     """(repo, path, status) of ``status --porcelain=v1`` lines (repo, value)."""
     long = lines.where(F.length("value") >= 4)
-    path = F.regexp_replace(F.substring("value", 4, 1 << 20), r"\A.* -> ", "")
+    name = F.substring("value", F.lit(4), F.length("value"))
+    moved = F.substring("value", 1, 2).rlike("[RC]")  # only these name the old path too
+    path = F.when(moved, F.regexp_replace(name, r"\A.*? -> ", "")).otherwise(name)
     return long.select("repo", path.alias("path"), status_code(F.substring("value", 1, 2)).alias("status"))
 
 
 def change_set(changes: DataFrame, source: str, rev: str | None = None) -> DataFrame:
-    """One change set of ``changes(repo, source, rev, path, status)``.
+    """One change set of ``changes(repo, source, rev, path, status, ...)``; further columns stay.
 
     ``source`` is ``uncommitted``, ``staged``, ``diff`` or ``commit``; the last two need ``rev``.
     """
@@ -79,4 +81,4 @@ def change_set(changes: DataFrame, source: str, rev: str | None = None) -> DataF
         if not rev or rev.startswith("-"):
             raise ValueError(f"invalid revision {rev!r}")
         chosen = chosen.where(F.col("rev") == rev)
-    return chosen.select("repo", "path", "status")
+    return chosen.drop("source", "rev")
