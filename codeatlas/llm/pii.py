@@ -105,8 +105,12 @@ def _places(kind: Kind) -> str:
     return f"case when size(_p_hit_{kind.name}) > 0 then {kept} else cast(array() as array<struct<start: int, stop: int, score: double>>) end"
 
 
-def spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with ``pii``: array of (start, rank, kind, stop, score), by start and then the order of ``kinds``."""
+def spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, name: str = "pii") -> DataFrame:
+    """``docs`` with an array of (start, rank, kind, stop, score), by start and then the order of ``kinds``.
+
+    A column that has the array's name is replaced.
+    """
+    docs = docs.drop(name)
     own = {c: f"_p_in_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumns({
@@ -122,8 +126,8 @@ def spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
         f"transform(_p_{k.name}, x -> struct(x.start as start, {rank} as rank, '{k.name}' as kind, x.stop as stop, x.score as score))"
         for rank, k in enumerate(kinds)
     ]
-    return rows.withColumn("pii", F.expr(f"sort_array(concat({', '.join(tagged)}))")).select(
-        *[F.col(n).alias(c) for c, n in own.items()], "pii"
+    return rows.withColumn("_p_all", F.expr(f"sort_array(concat({', '.join(tagged)}))")).select(
+        *[F.col(n).alias(c) for c, n in own.items()], F.col("_p_all").alias(name)
     )
 
 
@@ -141,8 +145,8 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
         "substring(text, s.at + 1, greatest(x.start - s.at, 0)), case when x.start >= s.at then concat('[', upper(x.kind), ']') else '' end))) end"
     )
     text = (
-        f"aggregate(pii, named_struct('at', 0, 'out', {empty}), (s, x) -> {step},"
+        f"aggregate(_p_spans, named_struct('at', 0, 'out', {empty}), (s, x) -> {step},"
         " s -> concat(array_join(s.out, ''), substring(text, s.at + 1)))"
     )
-    out = spans(docs, kinds).withColumn("text", F.expr(f"case when size(pii) > 0 then {text} else text end"))
+    out = spans(docs, kinds, "_p_spans").withColumn("text", F.expr(f"case when size(_p_spans) > 0 then {text} else text end"))
     return out.select(*[f"`{c}`" for c in docs.columns])
