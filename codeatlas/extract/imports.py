@@ -42,10 +42,8 @@ def js_imports(content: Column) -> Column:
 
 def _listed(names: Column) -> Column:
     """``a, b as c`` or the bracketed form, as words per item; comments after a name are cut."""
-    flat = F.translate(names, "()\\", "   ")
-    words = lambda part: F.filter(
-        F.split(F.substring_index(part, "#", 1), r"\s+"), lambda w: w != ""
-    )
+    flat = F.translate(F.regexp_replace(names, r"#[^\n]*", ""), "()\\", "   ")
+    words = lambda part: F.filter(F.split(part, r"\s+"), lambda w: w != "")
     return F.filter(F.transform(F.split(flat, ","), words), lambda w: F.size(w) > 0)
 
 

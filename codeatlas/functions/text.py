@@ -153,7 +153,7 @@ def unescape(text: Column) -> Column:
     point = lambda e: F.when(
         F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.substring(e, F.lit(4), F.length(e) - 4), 16, 10)
     ).otherwise(F.substring(e, F.lit(3), F.length(e) - 3)).cast("int")
-    utf32 = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE")
+    utf32 = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     valid = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
     chars = F.transform(hits, lambda e: F.when(valid(point(e)), utf32(point(e))).otherwise(F.lit("\ufffd")))
     joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(chars, i), F.lit("")))), "")

@@ -54,9 +54,8 @@ def test_reach_with_a_hub(spark, monkeypatch, skewed, forced):
     tests = {5, 9, 33, 70}
     files, rows = make_graph(spark, edges, 80, tests)
     names = {r.id: r.rel for r in files.collect()}
-    if forced:  # salt the hub, number levels by range sort, and never broadcast
+    if forced:  # salt the hub and never broadcast
         monkeypatch.setattr(graph, "NEIGHBOURS_PER_KEY", 7)
-        monkeypatch.setattr(graph, "WINDOW_ROWS", 0)
         monkeypatch.setattr(storage, "BROADCAST_BYTES", -1)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
