@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import number_rows
+from .ranking import running_total
 
 
 def compare_edges(want: DataFrame, got: DataFrame, alt: DataFrame | None = None) -> DataFrame:
@@ -74,8 +74,11 @@ def run_summary(runs: DataFrame, group: str, metrics: list[str]) -> DataFrame:
 
 
 def _medians(rows: DataFrame, group: str, metric: str) -> DataFrame:
-    rows = rows.where(F.col(metric).isNotNull()).select(group, metric)
-    numbered = number_rows(rows, [group], [F.col(metric)], "_rank")
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    middle = F.col("_rank").isin(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)
-    return numbered.join(sizes, group).where(middle).groupBy(group).agg(F.avg(metric).alias(f"median_{metric}"))
+    """Exact medians from the counts of distinct values, so a value that most rows share is one row."""
+    counts = rows.where(F.col(metric).isNotNull()).groupBy(group, metric).agg(F.count(F.lit(1)).alias("_k"))
+    ranked = running_total(counts, [group], [F.col(metric)], "_k", "_upto")
+    sizes = counts.groupBy(group).agg(F.sum("_k").alias("_n"))
+    holds = lambda rank: ((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_k"))).cast("int")
+    hits = holds(F.floor((F.col("_n") + 1) / 2)) + holds(F.floor(F.col("_n") / 2) + 1)
+    middle = ranked.join(sizes, group).withColumn("_hits", hits).where("_hits > 0")
+    return middle.groupBy(group).agg((F.sum(F.col(metric) * F.col("_hits")) / 2).alias(f"median_{metric}"))

@@ -132,8 +132,8 @@ def _fitted(head: pd.Series, budget: pd.Series, lists: pd.Series, totals: pd.Ser
 def context(graph: CodeGraph, contents: DataFrame, symbols: DataFrame, starts: DataFrame, budget: int = 1500) -> DataFrame:
     """(repo, rel, text) for each of ``starts(repo, rel)``: what it uses, who uses it, its tests, what it declares.
 
-    A line costs at least a token, so no more than ``budget`` lines of a section can be shown: longer
-    sections are cut per task before they are gathered, and only their length is kept.
+    A section is cut by its running cost, counted over range-sorted tasks: lines that begin beyond the budget can't be
+    shown, so they are never gathered, and only their number is kept.
     """
     start = starts.select("repo", F.col("rel").alias("start"))
     names = None if graph.go is None else stage(explain.used_names(graph), "used-names")[0]
@@ -174,7 +174,9 @@ def context(graph: CodeGraph, contents: DataFrame, symbols: DataFrame, starts: D
     for more in (sig_lines, user_lines, go_line, test_lines, more_tests, own_lines):
         every = every.unionByName(more)
     every, _ = stage(every, "context-lines")
-    shown = ranking.top(every, ["repo", "start", "sec"], [F.col("o")], budget, "_n")
+    cost = F.ceil((F.octet_length("line") + 1) / 4).cast("long")
+    shown = ranking.running_total(every.withColumn("_c", cost), ["repo", "start", "sec"], [F.col("o"), F.col("line")], "_c", "_n").where(
+        F.col("_n") - F.col("_c") <= budget)
     per = every.groupBy("repo", "start", "sec").agg(F.count(F.lit(1)).alias("total")).join(
         shown.groupBy("repo", "start", "sec").agg(F.expr("transform(array_sort(collect_list(struct(_n, line))), s -> s.line) as lines")), ["repo", "start", "sec"])
     files = per.groupBy("repo", "start").agg(F.map_from_entries(F.collect_list(F.struct("sec", F.struct("total", "lines").alias("v")))).alias("m"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..extract.imports import import_specs
 from ..operators.graph import distinct_edges
+from ..operators.tree import ScanOptions, visible_files
 from ..sources.corpus import readable, select_sources
 from ..storage import stage
 from . import golang, javascript, jvm, python, rust
@@ -41,12 +42,18 @@ def spec_links(
     return found
 
 
-def build(contents: DataFrame, files: DataFrame | None = None, tests: bool = True) -> CodeGraph:
+def build(
+    contents: DataFrame, files: DataFrame | None = None, tests: bool = True, options: ScanOptions | None = None
+) -> CodeGraph:
     """Extract and resolve ``contents(repo, rel, size, content)``; ``files`` may list more paths.
 
+    What a scan with ``options`` hides (installed packages, build output, ignored files) is left out first.
+
     Languages the corpus doesn't hold are left out of the plan; the counts come with the writes.
     """
-    files = contents.select("repo", "rel") if files is None else files
+    options = options or ScanOptions()
+    contents = visible_files(contents, options)
+    files = contents.select("repo", "rel") if files is None else visible_files(files, options)
     sources, n = stage(select_sources(files, tests), "sources", go=F.expr("count_if(rel like '%.go')"))
     texts = readable(contents)
     own = texts.join(sources.select("repo", "rel"), ["repo", "rel"], "left_semi")

@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 _steps = itertools.count()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written steps; a temporary one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for written steps: the session's, or the one set on the context; a temporary one only in local mode."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if sc.applicationId not in _local_roots:
@@ -35,6 +36,7 @@ def stage(df: DataFrame, label: str, **metrics) -> tuple[DataFrame, dict]:
     """Write ``df`` and read it back. Returns it with observed metrics: ``rows`` and any given."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/codeatlas/{label}-{next(_steps)}-{uuid.uuid4().hex[:8]}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     seen = Observation()
     df.observe(
         seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()]
@@ -42,6 +44,15 @@ def stage(df: DataFrame, label: str, **metrics) -> tuple[DataFrame, dict]:
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables this application has staged so far; to be called once no result that reads them is needed."""
+    jvm, paths = spark.sparkContext._jvm, _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 # A side is broadcast by hand only below this measured size; beyond it Spark shuffles.
 BROADCAST_BYTES = 32 << 20
 

@@ -1,13 +1,16 @@
 """Whole repositories: links, reasons, context, impact, tests to run, and reports."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from codeatlas import storage
 from codeatlas.extract.imports import js_imports, py_imports
 from codeatlas.functions import labels
 from codeatlas.operators import declarations, explain, impact, rules, testplan
+from codeatlas.operators.tree import ScanOptions
 from codeatlas.plans import reports
 from codeatlas.resolve import graph as code_graph
 from codeatlas.sources import corpus, sinks
@@ -93,6 +96,25 @@ def test_nothing_is_left_out_for_size(spark):
     assert corpus.select_sources(many).count() == 50_010
 
 
+def test_hidden_folders_hold_no_sources(spark):
+    link = "import './b';\n"
+    rows = contents(spark, {"h": {
+        "a.ts": link, "b.ts": "", "node_modules/p/a.ts": link, "node_modules/p/b.ts": "", ".cache/a.ts": link, ".cache/b.ts": "",
+        "gen/a.ts": link, "gen/b.ts": ""}})
+    edges = lambda **o: sorted(r.src for r in code_graph.build(rows, options=ScanOptions(**o)).edges.collect())
+    assert edges() == ["a.ts", "gen/a.ts"] and edges(ignore=["gen/"]) == ["a.ts"]
+
+
+def test_staged_tables_can_be_cleared(spark):
+    df, _ = storage.stage(spark.range(3), "cleared")
+    path = storage._staged[spark.sparkContext.applicationId].pop()
+    kept, storage._staged[spark.sparkContext.applicationId] = storage._staged[spark.sparkContext.applicationId], [path]
+    try:
+        assert df.count() == 3 and storage.clear(spark) == 1 and not os.path.exists(path)
+    finally:
+        storage._staged[spark.sparkContext.applicationId] = kept
+
+
 def test_specs(spark):
     js = (
         "import def, {\n  part,\n} from './lines';  // import q from './no'\nexport * as all from \"./all\"\n/* require('./never') */\n"
