@@ -235,6 +235,7 @@ c_use as (
   from b_edges e join c_place a on a.id = e.src join c_place b on b.id = e.dst),
 c_lang(repo, prefix, ext) as (values ('js','','.ts'), ('py','','.py'), ('java','src/main/java/','.java'), ('rs','src/','.rs'), ('go','','.go')),
 c_edges as (
-  select distinct repo, prefix||src_dir||'/'||tag||ext as src, prefix||d.dir||'/'||d.stem||ext as dst
-  from c_lang, c_use u join c_place d on d.id in (u.src, u.dst))
+  select distinct repo, prefix||src_dir||'/'||tag||ext as src, prefix||to_dir||'/'||to_stem||ext as dst
+  from c_lang, (select src_dir, tag, src_dir as to_dir, src_stem as to_stem from c_use
+    union all select src_dir, tag, dst_dir, dst_stem from c_use) u)
 """
