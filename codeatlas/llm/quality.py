@@ -44,14 +44,15 @@ class Rule:
 
 
 RULES = (
-    Rule("words", "n_words", 20, 1_000_000),
+    Rule("words", "n_words", 20),
     Rule("repeated_words", "100.0 * n_repeat_words / nullif(n_words, 0)", None, 30),
     Rule("word_length", "1.0 * word_chars / nullif(n_words, 0)", 2, 15),
     Rule("symbols", "1.0 * n_symbols / nullif(n_words, 0)", None, 0.25),
     Rule("stop_words", "1.0 * n_stop_words / nullif(n_words, 0)", 0.02, None),
     Rule("repeated_lines", "1.0 * n_dup_lines / nullif(n_lines, 0)", None, 0.5),
 )
-BASE = ("words", "repeated_words")
+# The contract of ``base_failed``; a text has no upper bound.
+BASE = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -91,11 +92,10 @@ def measures(docs: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Measures, ``base_failed``, ``kept`` and the names of the broken rules."""
     broken = {r.name: f"case when {r.broken()} then '{r.name}' end" for r in rules}
-    base = " or ".join(r.broken() for r in rules if r.name in BASE) or "false"
     return (
         measures(docs)
-        .withColumns({"base_failed": F.expr(base), "broken": F.expr(f"array_compact(array({', '.join(broken.values())}))")})
-        .withColumn("kept", (F.size("broken") == 0) & ~F.col("base_failed"))
+        .withColumns({"base_failed": F.expr(BASE), "broken": F.expr(f"array_compact(array({', '.join(broken.values())}))")})
+        .withColumn("kept", F.size("broken") == 0)
     )
 
 

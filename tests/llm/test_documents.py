@@ -231,6 +231,15 @@ def test_quality(spark, docs, nothing):
     assert quality.keep_good(nothing).count() == 0
 
 
+def test_quality_has_no_upper_bound_of_words(spark):
+    text = " ".join(f"the w{i}" for i in range(500_000)) + " end"
+    df = spark.createDataFrame([(1, text), (2, "the w " * 500_001)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in quality.judged(df).drop("text").collect()}
+    assert got[1].n_words == 1_000_001 and got[1].kept and not got[1].base_failed
+    assert got[2].n_words == 1_000_002 and got[2].base_failed and not got[2].kept
+    assert [r.doc_id for r in quality.keep_good(df).select("doc_id").collect()] == [1]
+
+
 # ---- 6: repeated passages ----------------------------------------------------------------
 
 
