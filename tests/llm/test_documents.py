@@ -102,6 +102,43 @@ def test_decontamination_odd_inputs(spark, docs, nothing):
     assert sorted(r[0] for b in blocks for r in b) == list(range(7)) and max(map(len, blocks)) == 2
 
 
+def found(items, texts):
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    index = decontaminate.block(items)
+    return {(d, index.ids[i]): (s, e, c) for d, i, s, e, c, _ in decontaminate.regions(np.frombuffer(b"".join(data), np.uint8), offsets, index)}
+
+
+@pytest.mark.parametrize("size", [50, 61, 95, 110])
+def test_copied_passages_at_every_offset(size):
+    item = prose(700, 40).rstrip(".")
+    places = range(len(item) - size + 1)
+    texts = [prose(k, 12) + " Qq; " + item[at:at + size] + " (zz) " + prose(k + 1, 12) for k, at in enumerate(places)]
+    got = found([("x", item), ("y", prose(701, 40))], texts)
+    assert set(got) == {(d, "x") for d in places}
+    for d, t in enumerate(texts):
+        s, e, c = got[d, "x"]
+        at = t.index(" Qq; ") + 5
+        assert c == 0 and at - 24 <= s <= at + 5 and at + size - 5 <= e <= at + size + 24  # windows over its ends have edits
+
+
+def test_copied_passages_with_a_replaced_word_or_edits():
+    item = prose(702, 40)
+    for at in range(0, len(item) - 115):
+        part = item[at:at + 115]
+        assert (0, "x") in found([("x", item)], ["Aa " + part[:54] + "wonderfully" + part[61:] + " zz"]), at
+        assert (0, "x") in found([("x", item)], ["Aa " + part[:15] + part[16:30] + "q" + part[31:50] + " zz"]), at
+        assert not found([("x", item)], ["Aa " + part[:44] + " zz"]), at
+
+
+def test_short_items_stand_exactly():
+    items = [(1, "Yes, we can"), (2, "short"), (3, "你好吗"), (4, "a.b c d e f g h i j k l"), (5, "..."), (6, None), (7, "SHORT!")]
+    texts = ["Then: YES -- we can!", "yes we cannot", "shorts", "too short", "他说你好吗。", "", "short", "a b c d e f g h i j k l m", "ashort", "yes we", "can"]
+    got = found(items, texts)
+    assert set(got) == {(0, 1), (3, 2), (3, 7), (4, 3), (6, 2), (6, 7), (7, 4)}
+    assert texts[0][slice(*got[0, 1][:2])] == "YES -- we can" and texts[4][slice(*got[4, 3][:2])] == "你好吗"
+
+
 # ---- 2: near-duplicates ------------------------------------------------------------------
 
 
