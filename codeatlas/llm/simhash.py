@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -54,16 +54,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * counts > len(hashes)))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``also``: one row per row of ``docs``; ``fp`` holds the 64 bits as a signed long."""
+    names = ["doc_id", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
                 fps = np.array([fingerprint(t, shingle) for t in as_bytes(part.column("text"))], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, fp bigint")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -84,23 +86,36 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def _nodes(fps: DataFrame, radius: int, least: Column) -> DataFrame:
+    """(fp, least, root): every distinct fingerprint with the ``least`` of its rows and the root of its class."""
+    label = components(links(fps, radius))
+    root = F.coalesce(F.col("root"), F.col("fp"))
+    nodes = fps.groupBy("fp").agg(F.min(least).alias("least")).join(label.withColumnRenamed("node", "fp"), "fp", "left")
+    return nodes.select("fp", "least", root.alias("root"))
+
+
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the class of every row, named by its least ``doc_id``."""
     fps, _ = stage(fingerprints(docs, shingle), "simhash")
-    label = components(links(fps, radius))
-    root = F.coalesce(F.col("root"), F.col("fp"))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "fp"), "fp", "left")
-    nodes = nodes.select("fp", "least", root.alias("root"))
+    nodes = _nodes(fps, radius, F.col("doc_id"))
     named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each class: the row with the least id; of its repeated rows one stays.
+    """``docs`` with one row of each class: of the least id, then of the least fingerprint; of several such rows one stays.
 
-    Rows without an id are kept: they can't be told apart.
+    An id may have rows of different texts: each counts in the class of its own text. Rows without an id come last in
+    their class, so one stays where no row of the class has an id.
     """
-    first = classes(docs, radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    ids = [c for c in docs.columns if c == "doc_id"]
-    kept = docs.join(first, ids, "left_semi").dropDuplicates(ids)
-    return kept.unionByName(docs.where("doc_id is null"))
+    texts = {"_sim_a": F.xxhash64("text"), "_sim_b": F.hash("text")}  # 96 bits tell the texts of an id apart
+    keys = ["doc_id", *texts]
+    marked = docs.withColumns(texts)
+    fps, _ = stage(fingerprints(marked, shingle, tuple(texts)), "simhash")
+    least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", *texts)
+    first = _nodes(fps, radius, least).groupBy("root").agg(F.min("least").alias("first"))
+    first, _ = stage(first.select(*[f"first.{c}" for c in keys]), "firsts")
+    kept = marked.where("doc_id is not null").join(first.where("doc_id is not null"), keys, "left_semi").dropDuplicates(keys)
+    alone = first.where("doc_id is null").drop("doc_id")
+    more = marked.where("doc_id is null").dropDuplicates([*texts]).join(alone, [*texts], "left_semi")
+    return kept.unionByName(more).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -178,6 +178,15 @@ def test_simhash_classes(docs, nothing):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(firsts) and kept.columns == docs.columns
 
 
+def test_keep_first_goes_by_the_text_not_by_the_id_alone(spark):
+    a, b, c, d = (prose(800 + k, 80) for k in range(4))
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "z"), (3, a, "x"), (None, a, "n"), (None, c, "n"), (None, c, "m"), (5, d, "n"), (5, d, "m"), (None, "", "n"), (None, None, "n")]
+    out = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string, fp string"))
+    assert out.columns == ["doc_id", "text", "fp"]
+    got = Counter((r.doc_id, r.text or "") for r in out.collect())
+    assert got == {(1, a): 1, (1, b): 1, (None, c): 1, (5, d): 1, (None, ""): 1}
+
+
 def test_simhash_links_chains(spark):
     rng = np.random.default_rng(0)
     fps = {int(rng.integers(0, 1 << 62))}
