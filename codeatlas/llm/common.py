@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task looks at in one step; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
+#: A key with over 1/HOT_SHARE of all rows is hot: there are fewer than HOT_SHARE of them, whatever the data, so they may be broadcast.
+HOT_SHARE = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

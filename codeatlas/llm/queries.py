@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, hilbert, langid, pii, quality, repeats, simhash, suffix_tree, toxicity
+from . import bpe, decontaminate, hilbert, langid, phrases, pii, quality, repeats, simhash, spelling, suffix_tree, toxicity, warc
 from .common import remainder, table
 
 
@@ -88,6 +88,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of ZIP-packaged archives, read back from them."""
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    return warc.read(warc.written(pages)).select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its neighbours, its form and its root."""
+    return spelling.variants(spelling.vocabulary(spelling.occurrences(table(spark, sf_dir, "documents"))))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best collocations."""
+    return phrases.collocations(phrases.frequent(table(spark, sf_dir, "documents"))).select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned documents with their token ids."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -102,6 +124,9 @@ QUERIES = {
     "op6_repeats": op6_repeats,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_suffix_tree": op9_suffix_tree,
+    "op11_warc": op11_warc,
+    "op12_spelling": op12_spelling,
+    "op13_phrases": op13_phrases,
     "op4_quality_rules": op4_quality_rules,
     "op7_pii": op7_pii,
     "pipeline": pipeline,

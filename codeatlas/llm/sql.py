@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pii, quality
+from . import phrases, pii, quality, spelling, warc
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys([*quality.STOP_WORDS, *[w.capitalize() for w in quality.STOP_WORDS]]))
 
@@ -94,4 +94,36 @@ from d left join g using (rid)
 """
 
 
-ORACLES = {"op4_quality_rules": QUALITY, "op7_pii": _pii()}
+WARC = f"""
+select page_id, cast(strlen(t) as bigint) as payload_bytes, sha256(t) as payload_digest,
+  case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to
+from (
+  select page_id, t, first, strlen(t) >= {warc.LEAST} and place > 1 as again from (
+    select page_id, t, min(page_id) over (partition by t) as first,
+      row_number() over (partition by t order by page_id nulls last, url nulls last) as place
+    from (select page_id, url, coalesce(html, '') as t from pages)))
+"""
+
+PHRASES = rf"""
+with w as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from (
+    select coalesce(lang, 'und') as lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents)),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i+k-1], ' '))) as phrase from w, range(1, {phrases.LONGEST + 1}) s(k)),
+f as (select lang, phrase, k, count(*) as a from g group by all having a >= {phrases.LEAST}),
+t as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+c as (select *, string_split(phrase, ' ') as ws from f where k >= 2),
+inner_ as (select distinct lang, a, array_to_string(ws[i:i+m-1], ' ') as phrase from c, range(2, {phrases.LONGEST}) x(m), range(1, {phrases.LONGEST}) y(i) where m < k and i <= k - m + 1),
+kept as (select * from c anti join (select lang, phrase, max(a) as longer from inner_ group by all) i on c.lang = i.lang and c.phrase = i.phrase and 100 * i.longer >= 100 * c.a),
+cuts as (
+  select kept.*, cut, h.a as l, e.a as r, n, cast((1000::hugeint * kept.a * n) // (h.a::hugeint * e.a) as bigint) as score
+  from kept, range(1, {phrases.LONGEST}) x(cut), f h, f e, t
+  where cut < kept.k and h.lang = kept.lang and e.lang = kept.lang and t.lang = kept.lang
+    and h.phrase = array_to_string(kept.ws[1:cut], ' ') and e.phrase = array_to_string(kept.ws[cut+1:], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from best qualify rank <= {phrases.REPORT}
+"""
+
+ORACLES = {"op4_quality_rules": QUALITY, "op7_pii": _pii(), "op11_warc": WARC, "op13_phrases": PHRASES}
