@@ -8,7 +8,7 @@ has been counted over all documents, whatever the sample missed.
 
 Proposals travel as a bit table of fixed size (``FILTER_BITS``, a documented parameter): a bit set by chance only makes a
 pass count a phrase more, so results are exact at any fill. Tasks count whole words and phrases, not hashes, and
-add up per step of ``common.STEP_BYTES`` bytes before the shuffle; a longer text goes through in slices that carry the last words over.
+add up per step of ``STEP_BYTES`` bytes before the shuffle; a longer text goes through in slices that carry the last words over.
 
 Nulls: a null text is empty, a null language ``und``. Repeated rows count as often as they occur. Ties in the ranking can't remain, as a
 phrase is once in a language. Columns other than text, lang and doc_id aren't read. An empty table gives no rows.
@@ -17,6 +17,7 @@ phrase is once in a language. Columns other than text, lang and doc_id aren't re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import top
 from ..storage import stage
-from .common import STEP_BYTES, packed, steps
+from .common import steps
 
 #: Words of the longest phrase, least count, and rows of a language's report.
 LONGEST, LEAST, REPORT = 5, 100, 2000
@@ -35,6 +36,8 @@ LONGEST, LEAST, REPORT = 5, 100, 2000
 SAMPLE = 8
 #: Bits of the table of proposals (8 MiB).
 FILTER_BITS = 26
+#: Bytes of text that are counted before their counts go to the shuffle; a longer text goes through in slices.
+STEP_BYTES = 3 << 20
 
 UNKNOWN = "und"
 COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
@@ -49,14 +52,36 @@ _TURN = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def _hash(lang: bytes, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
+def _mixed(h):
+    """Spread over all 64 bits; for numbers and for arrays."""
+    if isinstance(h, int):
+        h = ((h ^ (h >> 29)) * _TURN) & _MASK
+        return h ^ (h >> 32)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_TURN)
+    return h ^ (h >> np.uint64(32))
+
+
+def _hash(lang: int, word: bytes) -> int:
+    """Hash of one word; ``lang`` is its language's."""
+    return _mixed(sum((b + 1) * pow(_TURN, i, 1 << 64) for i, b in enumerate(word)) + lang & _MASK)
+
+
+def _hashes(words: pa.LargeBinaryArray) -> np.ndarray:
+    """The same of many words (none is empty), before the language is added."""
+    at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0]:at[-1]].astype(np.uint64) + np.uint64(1)
+    size = np.diff(at)
+    power = np.ones(int(size.max()), np.uint64)
+    power[1:] = np.uint64(_TURN)
+    inside = np.arange(len(data)) - np.repeat(at[:-1] - at[0], size)
+    return np.add.reduceat(data * np.multiply.accumulate(power)[inside], at[:-1] - at[0])
 
 
 def _longer(h, word):
-    """Hash of a phrase with one more word, for arrays of unsigned 64-bit numbers."""
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(_TURN) + word
-    return h ^ (h >> np.uint64(32))
+    """Hash of a phrase with one more word."""
+    if isinstance(h, int):
+        return (_mixed(h) * 31 + word) & _MASK
+    return _mixed(h) * np.uint64(31) + word
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -65,41 +90,49 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: distinct (language, word) pairs, and for every place its pair and whether the next word goes on."""
+    """The words of some texts: distinct (language, word) pairs, and for every place its pair and whether the next word goes on.
+
+    ``data`` are the bytes of all texts, each with a line end behind it, ``ends`` where each text ends.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: pa.Array):
-        data = _LOWER[data]
+    def __init__(self, data: np.ndarray, ends: np.ndarray, langs: pa.Array):
         kind = _KIND[data]
-        inside = kind == 0
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        before, after = np.empty_like(inside), np.empty_like(inside)
-        before[:1], before[1:] = False, inside[:-1]
-        after[-1:], after[:-1] = False, inside[1:]
-        self.starts = np.flatnonzero(inside & (~before | edge[:-1]))
-        ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        row = np.searchsorted(offsets, self.starts, side="right") - 1
+        inside = np.empty(len(data) + 1, np.int8)
+        inside[0], inside[1:] = 0, kind == 0
+        turn = np.diff(inside)
+        self.starts = np.flatnonzero(turn == 1)
+        stop = np.flatnonzero(turn == -1)
         stops = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
         self.goes_on = np.zeros(len(self.starts), bool)
-        self.goes_on[:-1] = (row[1:] == row[:-1]) & (stops[1:] == stops[:-1])
+        self.goes_on[:-1] = stops[1:] == stops[:-1]
         at = np.zeros(len(self.starts) + 1, np.int64)
-        np.cumsum(ends - self.starts, out=at[1:])
-        text = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(at), pa.py_buffer(data[inside])])
-        text = text.dictionary_encode()
+        np.cumsum(stop - self.starts, out=at[1:])
+        letters = _LOWER[data[inside[1:].view(bool)]]
+        text = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
         langs = pc.fill_null(langs, UNKNOWN).cast(pa.binary()).dictionary_encode()
         n = max(1, len(text.dictionary))
         of_row = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pair = pa.array(of_row[row] * n + text.indices.to_numpy(zero_copy_only=False)).dictionary_encode()
-        self.ids = pair.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pair = pair.dictionary.to_numpy(zero_copy_only=False)
+        words_of_row = np.diff(np.searchsorted(self.starts, ends), prepend=0)
+        key = np.repeat(of_row * n, words_of_row) + text.indices.to_numpy(zero_copy_only=False)
+        if n * max(1, len(langs.dictionary)) <= 1 << 24:
+            present = np.zeros(n * max(1, len(langs.dictionary)), np.int32)
+            present[key] = 1
+            pair = np.flatnonzero(present)
+            self.ids = (np.cumsum(present, dtype=np.int32) - 1)[key]
+        else:
+            dense = pa.array(key).dictionary_encode()
+            self.ids, pair = dense.indices.to_numpy(zero_copy_only=False), dense.dictionary.to_numpy(zero_copy_only=False)
         self.langs, self.words = langs.dictionary.take(pa.array(pair // n)), text.dictionary.take(pa.array(pair % n))
-        self.hashes = np.fromiter(map(_hash, self.langs.to_pylist(), self.words.to_pylist()), np.uint64, len(pair))
+        of_lang = np.array([xxhash.xxh32_intdigest(x) for x in langs.dictionary.to_pylist()], np.uint64)
+        self.hashes = _mixed(_hashes(text.dictionary)[pair % n] + of_lang[pair // n]) if len(pair) else np.empty(0, np.uint64)
 
 
 def _rows(words: Words, at: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
     """Counts of the phrases of ``k`` words at the places ``at``; equal ``ids`` are equal phrases."""
-    first, n = np.unique(ids, return_index=True, return_counts=True)[1:]
-    at = at[first]
+    n = np.bincount(ids)
+    place = np.zeros(len(n), np.int64)
+    place[ids] = at  # any of its places
+    at, n = place[n > 0], n[n > 0]
     parts = [words.words.take(pa.array(words.ids[at + j])) for j in range(k)]
     phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
     lang = words.langs.take(pa.array(words.ids[at]))
@@ -141,9 +174,9 @@ def counted(words: Words, fresh: int, now: np.ndarray, old: np.ndarray | None, l
         if not len(at):
             return
         following = at + k - 1
-        phrase = phrase * len(own) + ids[following]
+        phrase = phrase.astype(np.int64) * len(own) + ids[following]
         dense = pa.array(phrase).dictionary_encode()
-        phrase = dense.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        phrase = dense.indices.to_numpy(zero_copy_only=False)
         h = _longer(h, own[ids[following]])
         new = ~before[at] & (following >= fresh)
         if new.any():
@@ -156,20 +189,26 @@ def counted(words: Words, fresh: int, now: np.ndarray, old: np.ndarray | None, l
             last_had[at] = before[at] & _has(old, h)
 
 
+def _ended(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, each with a line end behind it, and where each ends."""
+    texts = pc.binary_join_element_wise(pc.fill_null(texts, "").cast(pa.large_binary()), *[pa.scalar(x, pa.large_binary()) for x in (b"", b"\n")])
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    return np.frombuffer(texts.buffers()[2], np.uint8)[at[0]:at[-1]], at[1:] - at[0]
+
+
 def _slices(batch: pa.RecordBatch, longest: int, limit: int) -> Iterator[tuple[Words, int]]:
     """Words of runs of rows, or of slices of a long row with the last words of the slice before."""
     for step in steps(batch, limit=limit):
-        data, offsets = packed(step.column("text"))
+        data, ends = _ended(step.column("text"))
         langs = step.column("lang")
         if len(data) <= limit or step.num_rows > 1:
-            yield Words(data, offsets[:-1], langs), 0
+            yield Words(data, ends, langs), 0
             continue
-        breaks = np.flatnonzero(_KIND[data] != 0)
+        breaks = np.flatnonzero(_KIND[data] != 0)  # the last byte is one
         start = begin = fresh = 0
         while begin < len(data):
-            after = np.searchsorted(breaks, begin + limit)
-            stop = int(breaks[after]) + 1 if after < len(breaks) else len(data)
-            words = Words(data[start:stop], np.zeros(1, np.int64), langs)
+            stop = int(breaks[min(np.searchsorted(breaks, begin + limit), len(breaks) - 1)]) + 1
+            words = Words(data[start:stop], np.array([stop - start]), langs)
             yield words, fresh
             fresh = min(longest - 1, len(words.starts))
             begin, start = stop, start + int(words.starts[-fresh]) if fresh else stop
@@ -179,16 +218,9 @@ def _bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         places = np.empty(batch.num_rows, np.uint64)
         for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())):
-            code = lang.encode()
-            h = None
-            for word in phrase.encode().split(b" "):
-                w = _hash(code, word)
-                if h is None:
-                    h = w
-                else:
-                    h = ((h ^ (h >> 29)) * _TURN + w) & _MASK
-                    h ^= h >> 32
-            places[i] = h >> (64 - FILTER_BITS)
+            of_lang = xxhash.xxh32_intdigest(lang.encode())
+            first, *more = (_hash(of_lang, word) for word in phrase.encode().split(b" "))
+            places[i] = reduce(_longer, more, first) >> (64 - FILTER_BITS)
         slot, back = np.unique(places >> np.uint64(6), return_inverse=True)
         mask = np.zeros(len(slot), np.uint64)
         np.bitwise_or.at(mask, back, np.uint64(1) << (places & np.uint64(63)))
