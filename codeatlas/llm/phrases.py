@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import top
 from ..storage import stage
-from .common import steps
+from .common import small_batches, steps
 
 #: Words of the longest phrase, least count, and rows of a language's report.
 LONGEST, LEAST, REPORT = 5, 100, 2000
@@ -255,7 +255,8 @@ def mined(docs: DataFrame, least: int, longest: int = LONGEST, proposals: DataFr
 
         rows = docs.select("text", "lang").mapInArrow(run, "lang string, phrase string, k int, n bigint")
         rows = rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0))
-        rows, _ = stage(rows, "phrases")
+        with small_batches(docs.sparkSession, limit):
+            rows, _ = stage(rows, "phrases")
         found = rows if found is None else found.unionByName(rows)
         grown = bit_table(rows.where((F.col("k") > 0) & (F.col("k") < longest)), now)
         if (grown == now).all():  # no border failure: nothing longer or new can be frequent

@@ -231,18 +231,17 @@ def directory(read, size: int) -> list[dict]:
             break
     count, length, begin = struct.unpack_from("<HII", tail, at + 10)
     end = tail_at + at
-    if 0xFFFF == count or 0xFFFFFFFF in (length, begin):
-        locator = read(max(0, end - LOCATOR_SIZE), LOCATOR_SIZE)
-        if locator[:4] == LOCATOR_SIGN:
-            stated = struct.unpack_from("<Q", locator, 8)[0]
-            for place in (stated, end - LOCATOR_SIZE - END64_SIZE):
-                wide = read(place, END64_SIZE) if place >= 0 else b""
-                if wide[:4] == END64_SIGN:
-                    count, length, begin = struct.unpack_from("<QQQ", wide, 32)
-                    end = place
-                    break
-            else:
-                raise ValueError("damaged ZIP64 directory")
+    locator = read(end - LOCATOR_SIZE, LOCATOR_SIZE) if end >= LOCATOR_SIZE else b""
+    wide = b""
+    if locator[:4] == LOCATOR_SIGN:  # a ZIP64 end may stand in front even if no value needs it
+        for place in (struct.unpack_from("<Q", locator, 8)[0], end - LOCATOR_SIZE - END64_SIZE):
+            wide = read(place, END64_SIZE) if 0 <= place <= end - END64_SIZE else b""
+            if wide[:4] == END64_SIGN:
+                count, length, begin = struct.unpack_from("<QQQ", wide, 32)
+                end = place
+                break
+    if wide[:4] != END64_SIGN and (count == 0xFFFF or 0xFFFFFFFF in (length, begin)):
+        raise ValueError("damaged ZIP64 directory")
     front = end - length - begin
     listing, out, at = read(begin + front, length), [], 0
     for _ in range(count):
