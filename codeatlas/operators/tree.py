@@ -26,11 +26,16 @@ class ScanOptions:
     only: list[str] = field(default_factory=list)
     since: datetime | None = None
 
-    def rules(self) -> list[globs.IgnoreRule]:
+    def rules_around(self) -> tuple[list[globs.IgnoreRule], list[globs.IgnoreRule]]:
+        """The rules that come before a repository's own, and those after."""
         patterns = [".git/"]
         if not self.no_ignore and not self.vcs_aware:
             patterns += labels.DEFAULT_IGNORES
-        return globs.ignore_rules(patterns + self.ignore)
+        return globs.ignore_rules(patterns), globs.ignore_rules(self.ignore)
+
+    def rules(self) -> list[globs.IgnoreRule]:
+        before, after = self.rules_around()
+        return before + after
 
 
 def _hidden_entry(options: ScanOptions, rel: Column, is_dir: bool) -> Column:
@@ -77,6 +82,24 @@ def skipped(marked: DataFrame) -> DataFrame:
     return marked.groupBy("repo").agg(F.count_distinct("hidden_at").alias("skipped"))
 
 
+def scan_summary(scanned: DataFrame, options: ScanOptions) -> DataFrame:
+    """Per repo of a ``walk.scan``: files shown, entries skipped (hidden ones, links and pipes), and unreadable folders shown.
+
+    A hidden folder counts once, and nothing below it counts.
+    """
+    rel = F.col("rel")
+    folder = F.get(F.filter(paths.ancestors(rel), lambda a: _hidden_entry(options, a, True)), 0)
+    own = F.when(F.col("is_dir"), _hidden_entry(options, rel, True)).otherwise(_hidden_entry(options, rel, False))
+    at = F.coalesce(folder, F.when((rel != ".") & own, rel))
+    seen = scanned.withColumn("hidden_at", at)
+    shown = F.col("hidden_at").isNull()
+    return seen.groupBy("repo").agg(
+        F.count_if(shown & (F.col("kind") == "file")).alias("files"),
+        (F.count_distinct("hidden_at") + F.count_if(shown & F.col("special"))).alias("skipped"),
+        F.count_if(shown & F.col("err").isNotNull()).alias("unreadable"),
+    )
+
+
 def with_parents(tracked: DataFrame) -> DataFrame:
     """Tracked ``(repo, path)`` with every parent folder."""
     return tracked.select("repo", F.explode(paths.prefixes(F.rtrim(F.col("path"), F.lit("/")))).alias("path")).distinct()
