@@ -27,10 +27,10 @@ def parse_rules(content: str) -> list[ArchRule]:
             continue
         left, arrow, right = (s.strip() for s in line.partition("->"))
         if not (left and arrow and right):
-            raise ValueError(f"line {n}: expected a rule like web/ -> db/, got {line!r}")
+            raise ValueError(f"line {n}: {line!r} isn't of the form web/ -> db/")
         rules.append(ArchRule(n, f"{left} -> {right}", globs.rule_side_regex(left), globs.rule_side_regex(right)))
     if not rules:
-        raise ValueError("no rules; add one like: web/ -> db/")
+        raise ValueError("no rule in the file; one looks like web/ -> db/")
     return rules
 
 
