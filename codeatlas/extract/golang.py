@@ -1,313 +1,432 @@
-"""Go facts from a token table.
+"""Go facts, one row per file.
 
-A text is cut into tokens by one pattern; each token becomes a row, and what a Go file declares,
-imports, binds and uses follows from windows over one file's tokens (a bounded group: files over
-512 KiB aren't read). Names bound anywhere in a declaration (parameters, fields, locals) aren't
-uses of package-level names in that declaration.
+A text is read once, token by token; nesting, declaration, spec and scope are carried along, and what the file declares,
+imports, binds, uses and mentions comes out as one row of lists. No token ever becomes a row, no text is shuffled: everything after
+this is joins of names. Names bound anywhere in a declaration (parameters, fields, locals) aren't uses of
+package-level names in that declaration. Positions count tokens without comments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..storage import stage
 
-# The token pattern and the keywords.
-TOKEN = (
+# What a token is, and the keywords.
+TOKEN = re.compile(
     r"""//[^\n]*|/\*(?s:.*?)\*/|`[^`]*+`|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
-    r"""|[\p{L}_][\p{L}\p{Nd}_]*|[0-9][0-9A-Za-z_]*(?:\.[0-9][0-9A-Za-z_]*)?|:=|\.\.\.|\n|[^\s]"""
+    r"""|[^\W\d]\w*|[0-9][0-9A-Za-z_]*(?:\.[0-9][0-9A-Za-z_]*)?|:=|\.\.\.|\n|[^ \t\n\x0b\f\r]"""
 )
-KEYWORDS = [
+KEYWORDS = frozenset([
     "break", "case", "chan", "const", "continue", "default", "defer", "else", "fallthrough", "for", "func", "go",
     "goto", "if", "import", "interface", "map", "package", "range", "return", "select", "struct", "switch", "type",
     "var",
-]
-_KW = ", ".join(f"'{k}'" for k in KEYWORDS)
-_TYPE_START = "('func', 'map', 'chan', 'struct', 'interface', '...')"
-
+])
+DECLARING = frozenset(["func", "type", "var", "const", "import"])
+TYPE_START = frozenset(["func", "map", "chan", "struct", "interface", "..."])
+LINE_START, ITEM_START = frozenset(["\n", "{", ";"]), frozenset(["(", ",", "\n", "{", ";"])
+
+SCHEMA = (
+    "repo string, rel string, pkg string, imports array<struct<ord: int, path: string, name: string>>,"
+    " names array<struct<decl: int, spec: int, pos: int, kind: string, name: string, recv: string>>,"
+    " uses array<string>, called array<string>, picks array<struct<pkg: string, name: string>>,"
+    " refs array<struct<name: string, ref: string, fn: string, member: string>>,"
+    " results array<struct<name: string, result: string>>,"
+    " signatures array<struct<late: int, decl: int, spec: int, text: string>>"
+)
 
-def tokens(contents: DataFrame) -> DataFrame:
-    """(repo, rel, pos, tok, ...): the tokens of Go files with nesting, declaration, and neighbours.
 
-    Texts are placed by file before they are cut, so the windows need no second shuffle.
-    """
-    texts = contents.where(F.col("rel").endswith(".go")).select("repo", "rel", "content").repartition("repo", "rel")
-    cut = F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))
-    kept = F.filter(cut, lambda t: ~t.startswith("//") & ~t.startswith("/*"))
-    rows = texts.select("repo", "rel", F.posexplode(kept).alias("pos", "tok"))
-    w = W.partitionBy("repo", "rel").orderBy("pos")
-    at = lambda n: F.lag("tok", n).over(w) if n > 0 else F.lead("tok", -n).over(w)
-    step = F.when(F.col("tok").isin("(", "[", "{"), 1).when(F.col("tok").isin(")", "]", "}"), -1).otherwise(0)
-    rows = rows.select(
-        "*", at(1).alias("p1"), at(2).alias("p2"), at(3).alias("p3"), at(-1).alias("n1"), at(-2).alias("n2"),
-        at(-3).alias("n3"), at(-4).alias("n4"), step.alias("step"),
-    )
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("depth", F.coalesce(F.sum("step").over(before), F.lit(0)))
-    # A declaration starts with its keyword at the start of a top-level line.
-    rows = rows.withColumn("starts", F.expr(
-        "depth = 0 and tok in ('func', 'type', 'var', 'const', 'import') and (p1 is null or p1 in ('\\n', ';'))"
-    ))
-    rows = rows.withColumn("decl", F.sum(F.col("starts").cast("int")).over(upto)).withColumn(
-        "kind", F.last(F.when(F.col("starts"), F.col("tok")), ignorenulls=True).over(upto)
-    )
-    rows = rows.withColumn("grouped", F.last(F.when(F.col("starts"), F.expr("n1 = '('")), ignorenulls=True).over(upto))
-    # One spec per line of a grouped declaration; a single declaration is one spec.
-    rows = rows.withColumn("opens", F.expr(
-        "starts or (grouped and kind <> 'func' and depth = 1 and p1 in ('(', '\\n', ';') and tok not in ('\\n', ';', ')'))"
-    ))
-    rows = rows.withColumn("spec", F.sum(F.col("opens").cast("int")).over(upto))
-    ident = f"tok rlike '^[\\\\p{{L}}_]' and tok not in ({_KW})"
-    rows = rows.withColumn("ident", F.expr(ident))
-    rows = rows.withColumn("special", F.last(
-        F.when(F.col("tok").isin("case", "{", "\n"), F.col("tok")), ignorenulls=True).over(before))
-    return rows.drop("step", "opens")
+def _word(token: str | None) -> bool:
+    return token is not None and (token[0] == "_" or token[0].isalpha()) and token not in KEYWORDS
+
+
+class _File:
+    """The tokens of one text, and what is known of each: depth before it, declaration, spec."""
+
+    def __init__(self, text: str):
+        shared: dict[str, str] = {}
+        found = [shared.setdefault(t, t) for t in TOKEN.findall(text) if not t.startswith(("//", "/*"))]
+        self.n = len(found)
+        self.at = [None, None, None, *found, None, None, None, None]  # token i is at[i + 3]
+        self.depth, self.decl, self.spec = [0] * self.n, [0] * self.n, [0] * self.n
+        self.kind: list[str | None] = [None]  # by declaration; 0 is what comes before the first
+        self.grouped, self.first, self.body = [False], [0], [None]
+        self.heads: dict[int, int] = {}  # spec -> position of its first token after keyword
+        depth = decl = spec = 0
+        for i, tok in enumerate(found):
+            before = found[i - 1] if i else None
+            starts = depth == 0 and tok in DECLARING and before in (None, "\n", ";")
+            if starts:
+                decl += 1
+                self.kind.append(tok)
+                self.grouped.append(self.at[i + 4] == "(")
+                self.first.append(i)
+                self.body.append(None)
+            kind = self.kind[decl]
+            if starts or (self.grouped[decl] and kind != "func" and depth == 1 and before in ("(", "\n", ";") and tok not in ("\n", ";", ")")):
+                spec += 1
+                self.heads[spec] = i + 1 if starts else i
+            self.depth[i], self.decl[i], self.spec[i] = depth, decl, spec
+            if tok in ("(", "[", "{"):
+                if tok == "{" and depth == 0 and kind == "func" and self.body[decl] is None:
+                    self.body[decl] = i
+                depth += 1
+            elif tok in (")", "]", "}"):
+                depth -= 1
+        self.first.append(self.n)
+
+    def tok(self, i: int) -> str | None:
+        return self.at[i + 3]
+
+    def span(self, decl: int) -> range:
+        return range(self.first[decl], self.first[decl + 1])
+
+
+def _package(f: _File) -> str | None:
+    for i in range(f.first[1] if len(f.kind) > 1 else f.n):
+        if f.tok(i) == "package" and f.depth[i] == 0 and f.tok(i + 1) is not None:
+            return f.tok(i + 1)
+    return None
+
+
+def _imports(f: _File, decl: int) -> Iterator[dict]:
+    for i in f.span(decl):
+        if f.tok(i)[0] in "\"`":
+            before = f.tok(i - 1)
+            yield {"ord": i, "path": f.tok(i)[1:-1], "name": None if before in ("\n", ";", "(", "import") else before}
+
+
+def _function(f: _File, decl: int) -> dict | None:
+    """A function's name is its first word outside brackets; a receiver's type is the last word directly in the first bracket."""
+    start, receiver = f.first[decl] + 1, None
+    has_receiver = f.tok(start) == "("
+    for i in range(start, f.first[decl + 1]):
+        if _word(f.tok(i)):
+            if f.depth[i] == 0:
+                return {"decl": decl, "spec": f.spec[i], "pos": i, "kind": "func", "name": f.tok(i), "recv": (receiver or "") if has_receiver else None}
+            if f.depth[i] == 1:
+                receiver = f.tok(i)
+    return None
+
+
+def _listed(f: _File, decl: int) -> Iterator[dict]:
+    """A var or const spec starts with words between commas, a type spec with one word."""
+    kind = f.kind[decl]
+    if f.first[decl] == f.first[decl + 1]:
+        return
+    for spec in range(f.spec[f.first[decl]], f.spec[f.first[decl + 1] - 1] + 1):
+        i, k = f.heads[spec], 0
+        while i < f.first[decl + 1] and f.spec[i] == spec and (_word(f.tok(i)) if k % 2 == 0 else f.tok(i) == ","):
+            if k % 2 == 0 and f.tok(i) != "_" and (kind != "type" or k == 0):
+                yield {"decl": decl, "spec": spec, "pos": i, "kind": kind, "name": f.tok(i), "recv": None}
+            i, k = i + 1, k + 1
+
+
+def _type_at(f: _File, i: int) -> str | None:
+    """T where T or *T stands at ``i``, and is a name of this package."""
+    if f.tok(i) == "*":
+        i += 1
+    return f.tok(i) if _word(f.tok(i)) and f.tok(i + 1) != "." else None
+
+
+def _made_at(f: _File, i: int) -> str | None:
+    """T of T{...} and &T{...}, @g of g(...)."""
+    if f.tok(i) == "&":
+        return f.tok(i + 1) if _word(f.tok(i + 1)) and f.tok(i + 2) == "{" else None
+    if _word(f.tok(i)) and f.tok(i + 1) in ("{", "("):
+        return f.tok(i) if f.tok(i + 1) == "{" else "@" + f.tok(i)
+    return None
+
+
+def _typed(f: _File, i: int) -> bool:
+    """Does a type follow this word? Two words side by side, "x []T" and "x ...T" occur nowhere else."""
+    n1, n2, before = f.tok(i + 1), f.tok(i + 2), f.tok(i - 1)
+    if before not in ITEM_START:
+        return False
+    if _word(n1) or n1 in TYPE_START:
+        return True
+    if n1 == "[":
+        return n2 == "]" or (n2 is not None and n2[0].isdigit() and n2[0].isascii() and f.tok(i + 3) == "]")
+    if n1 == "*" and _word(n2):
+        body = f.body[f.decl[i]]
+        return before in LINE_START or (f.kind[f.decl[i]] == "func" and (body is None or i < body))
+    return False
+
+
+def _bindings(f: _File) -> Iterator[tuple[int, str, str | None]]:
+    """(position, name, type) of parameters, fields and locals, last first. In a list such as ``a, b T`` every name gets the type."""
+    lead: list[bool] = [False] * f.n  # whether a var, const or type inside a body leads the list a word is in
+    var = False
+    for i in range(f.n):
+        if f.kind[f.decl[i]] in (None, "import"):
+            continue
+        lead[i] = var
+        tok = f.tok(i)
+        if tok in ("var", "const", "type") and f.depth[i] > 0:
+            var = True
+        elif tok != "," and not _word(tok):
+            var = False
+    after: tuple[str, str | None] | None = None  # what ends the list of names a word is in
+    for i in range(f.n - 1, -1, -1):
+        decl = f.decl[i]
+        kind, tok = f.kind[decl], f.tok(i)
+        if kind in (None, "import"):
+            continue
+        word = _word(tok)
+        typed = word and _typed(f, i)
+        before, n1 = f.tok(i - 1), f.tok(i + 1)
+        if word and before != ".":
+            found, bound = None, True
+            if typed:
+                found = _type_at(f, i + 1)
+            elif n1 == "," and before in ITEM_START and after is not None and after[0] == "typed":
+                found = after[1]
+            elif n1 in (",", ":=") and after is not None and after[0] == "made":
+                found = after[1]
+                if (before == "," or before is None) and found is not None and found[0] == "@":
+                    found = None
+            elif lead[i] and before in ("var", "const", "type", ","):
+                found = _type_at(f, i + 1) if before in ("var", "const") else None
+            else:
+                bound = kind == "type" and before in LINE_START and n1 == "(" and f.depth[i] > 0
+            # Names that a var or const line declares at the top are package-level.
+            top = kind in ("var", "const") and (f.depth[i] == 0 or (f.grouped[decl] and f.depth[i] == 1))
+            if bound and not (top and (after is None or after[0] != "made")):
+                yield i, tok, found
+        if typed:
+            after = ("typed", _type_at(f, i + 1))
+        elif tok == ":=":
+            after = ("made", _made_at(f, i + 1))
+        elif not word and tok != ",":
+            after = ("no", None)
+
+
+def _first_result(f: _File, function: dict) -> str | None:
+    """A function's first result, when it is a type of this package: what stands behind its parameters."""
+    for i in range(function["pos"] + 1, f.first[function["decl"] + 1]):
+        if f.tok(i) == ")" and f.depth[i] == 1:
+            break
+    else:
+        return None
+    n1, n2, n3, n4 = (f.tok(i + k) for k in range(1, 5))
+    plain = lambda name, following: None if following == "." else name
+    if n1 == "*" and _word(n2):
+        return plain(n2, n3)
+    if _word(n1):
+        return plain(n1, n2)
+    if n1 == "(" and n2 == "*" and _word(n3):
+        return plain(n3, n4)
+    if n1 == "(" and _word(n2):
+        if _word(n3):
+            return plain(n3, n4)
+        if n3 == "*" and _word(n4):
+            return n4
+        return plain(n2, n3)
+    return None
+
+
+def _spaced(f: _File, decl: int) -> str:
+    """A function's header in printed form: spaces between words, after commas, and before a result."""
+    end = f.body[decl] if f.body[decl] is not None else f.first[decl + 1]
+    out, before = [], None
+    for i in range(f.first[decl], end):
+        tok = f.tok(i)
+        if tok == "\n":
+            continue
+        word = tok[0].isalnum() or tok[0] in "_\""
+        gap = ""
+        if before is None:
+            pass
+        elif before == "," or (before == "func" and tok == "(" and f.depth[i] == 0):
+            gap = " "
+        elif (before[0].isalnum() or before[0] == "_") and (word or tok in ("*", "...")):
+            gap = " "
+        elif before in (")", "]", "}") and (word or tok in ("*", "(", "[")) and (f.depth[i] == 0 or tok != "("):
+            gap = "" if before == "]" else " "
+        elif (before[0].isalpha() or before[0] == "_") and tok == "[" and f.tok(i + 1) is not None and (f.tok(i + 1) == "]" or f.tok(i + 1)[0] in "0123456789"):
+            gap = " "
+        out.append(gap + tok)
+        before = tok
+    return "".join(out)
+
+
+def _signature(f: _File, name: dict) -> dict | None:
+    if name["kind"] == "func":
+        if name["name"] == "init":
+            return None
+        spec, text = 0, _spaced(f, name["decl"])
+    elif name["kind"] == "type":
+        n1 = f.tok(name["pos"] + 1)
+        spec, text = name["spec"], f"type {name['name']} {n1 if n1 in ('struct', 'interface', 'func', 'map') else ''}".rstrip(" ")
+    else:
+        return None
+    return {"late": 0 if name["name"][0].isupper() else 1, "decl": name["decl"], "spec": spec, "text": text}
+
+
+def facts(text: str) -> dict:
+    """What one text declares and mentions, as a row of ``SCHEMA`` without repo and rel."""
+    f = _File(text)
+    imports, names = [], []
+    for decl in range(1, len(f.kind)):
+        if f.kind[decl] == "import":
+            imports += _imports(f, decl)
+        elif f.kind[decl] == "func":
+            names += filter(None, [_function(f, decl)])
+        else:
+            names += _listed(f, decl)
+    own = {n["pos"] for n in names if n["kind"] == "func"}
+    called_as: dict[tuple[int, int], list[str]] = {}  # (declaration, spec) -> how others name it
+    for n in names:
+        called_as.setdefault((n["decl"], n["spec"]), []).append(n["name"] if n["recv"] is None else f"{n['recv']}.{n['name']}")
+    bound: set[tuple[int, str]] = set()
+    types: dict[tuple[int, str], str] = {}  # the first binding with a type counts; they come last first
+    for i, name, kind in _bindings(f):
+        bound.add((f.decl[i], name))
+        if kind is not None:
+            types[f.decl[i], name] = kind
+    uses, called, picks, refs = set(), set(), set(), set()
+    special = None
+    for i in range(f.n):
+        tok, decl = f.tok(i), f.decl[i]
+        kind = f.kind[decl]
+        if kind not in (None, "import") and _word(tok):
+            before, n1 = f.tok(i - 1), f.tok(i + 1)
+            mentions = () if i in own else called_as.get((decl, f.spec[i]), ())
+            if before == ".":
+                called.add(tok)
+                base = f.tok(i - 2) if f.tok(i - 3) != "." else None
+                if base is not None:
+                    picks.add((base, tok))
+                of = types.get((decl, base))
+                fn = of[1:] if of is not None and of[0] == "@" else None
+                for name in mentions:
+                    refs.add((name, f"{'' if of is None or fn is not None else of}.{tok}", fn, tok))
+            elif i not in own and (decl, tok) not in bound:
+                uses.add(tok)
+                key = n1 in (":", None) and (before in ("{", "\n") or (n1 is not None and before == "," and special != "case"))
+                if not key:
+                    for name in mentions:
+                        refs.add((name, tok, None, None))
+        if tok in ("case", "{", "\n"):
+            special = tok
+    results = {}
+    for n in names:
+        if n["kind"] == "func" and n["recv"] is None:
+            result = _first_result(f, n)
+            if result is not None:
+                results[n["name"]] = max(results.get(n["name"], result), result)
+    return {
+        "pkg": _package(f), "imports": imports, "names": names, "uses": sorted(uses), "called": sorted(called),
+        "picks": [{"pkg": p, "name": n} for p, n in sorted(picks)],
+        "refs": [{"name": n, "ref": r, "fn": g, "member": m} for n, r, g, m in sorted(refs, key=repr) if g is not None or n != r],
+        "results": [{"name": n, "result": r} for n, r in sorted(results.items())],
+        "signatures": [s for s in map(lambda n: _signature(f, n), names) if s is not None],
+    }
+
+
+_TEXT, _INT = pa.string(), pa.int32()
+_ARROW = pa.schema([
+    ("repo", _TEXT), ("rel", _TEXT), ("pkg", _TEXT), ("imports", pa.list_(pa.struct([("ord", _INT), ("path", _TEXT), ("name", _TEXT)]))),
+    ("names", pa.list_(pa.struct([("decl", _INT), ("spec", _INT), ("pos", _INT), ("kind", _TEXT), ("name", _TEXT), ("recv", _TEXT)]))),
+    ("uses", pa.list_(_TEXT)), ("called", pa.list_(_TEXT)), ("picks", pa.list_(pa.struct([("pkg", _TEXT), ("name", _TEXT)]))),
+    ("refs", pa.list_(pa.struct([("name", _TEXT), ("ref", _TEXT), ("fn", _TEXT), ("member", _TEXT)]))),
+    ("results", pa.list_(pa.struct([("name", _TEXT), ("result", _TEXT)]))),
+    ("signatures", pa.list_(pa.struct([("late", _INT), ("decl", _INT), ("spec", _INT), ("text", _TEXT)]))),
+])
+
+
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            rows = [{"repo": o, "rel": r, **facts(t or "")} for o, r, t in zip(*(part.column(c).to_pylist() for c in ("repo", "rel", "content")))]
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+
+def file_facts(contents: DataFrame) -> DataFrame:
+    """One row of facts per Go file, written once."""
+    texts = contents.where(F.col("rel").endswith(".go")).select("repo", "rel", "content")
+    return stage(texts.mapInArrow(_run, SCHEMA), "go-facts")[0]
 
 
 _KEY = ["repo", "rel"]
 
 
-def packages(toks: DataFrame) -> DataFrame:
+def packages(rows: DataFrame) -> DataFrame:
     """(repo, rel, pkg): the package clause."""
-    return toks.where("tok = 'package' and depth = 0 and decl = 0 and n1 is not null").groupBy(*_KEY).agg(
-        F.min_by("n1", "pos").alias("pkg")
-    )
+    return rows.where("pkg is not null").select(*_KEY, "pkg")
 
 
-def imports(toks: DataFrame) -> DataFrame:
+def imports(rows: DataFrame) -> DataFrame:
     """(repo, rel, ord, path, name): imports in file order; name is null unless renamed."""
-    return toks.where("kind = 'import' and (tok like '\"%' or tok like '`%')").selectExpr(
-        "repo", "rel", "pos as ord", "substring(tok, 2, length(tok) - 2) as path",
-        "case when p1 in ('\\n', ';', '(', 'import') then null else p1 end as name",
-    )
+    return rows.select(*_KEY, F.inline("imports"))
 
 
-def _names(toks: DataFrame) -> DataFrame:
-    """(repo, rel, decl, spec, pos, kind, name, recv) of every top-level declared name; recv for methods.
+def names(rows: DataFrame) -> DataFrame:
+    """(repo, rel, decl, spec, pos, kind, name, recv) of every top-level declared name; recv for methods."""
+    return rows.select(*_KEY, F.inline("names"))
 
-    A function's name is its first top-level identifier after the keyword; a method's receiver type
-    is the last identifier directly in the receiver's brackets. A var or const spec starts with a
-    comma-separated list of names, a type spec with one.
-    """
-    w = W.partitionBy(*_KEY, "spec").orderBy("pos")
-    in_spec = toks.where("kind in ('func', 'type', 'var', 'const')").withColumn("k", F.row_number().over(w) - 1)
-    # Skip the keyword and opening bracket: a spec's own tokens count from 0.
-    head = F.expr("case when starts then true else false end")
-    in_spec = in_spec.withColumn("k", F.col("k") - F.max(head.cast("int")).over(W.partitionBy(*_KEY, "spec")))
-    listed = F.min(F.expr("case when k < 0 then 1 when k % 2 = 0 then int(ident) else int(tok = ',') end")).over(
-        w.rowsBetween(W.unboundedPreceding, 0))
-    rows = in_spec.withColumn("listed", listed)
-    values = rows.where("ident and not starts and listed = 1 and k >= 0 and k % 2 = 0 and tok <> '_'"
-                        " and ((kind in ('var', 'const')) or (kind = 'type' and k = 0))")
-    plain = values.selectExpr("repo", "rel", "decl", "spec", "pos", "kind", "tok as name", "cast(null as string) as recv")
-    # In a func: the receiver is the first bracket, if it comes before the name.
-    funcs = rows.where("kind = 'func'").groupBy(*_KEY, "decl", "spec").agg(
-        F.expr("min(case when depth = 0 and ident and k >= 0 then pos end) as pos"),
-        F.expr("min_by(tok, case when depth = 0 and ident and k >= 0 then pos end) as name"),
-        F.expr("min(case when k = 0 then tok end) as first_tok"),
-    )
-    receivers = rows.where("kind = 'func' and depth = 1 and ident").join(
-        funcs.where("first_tok = '('").selectExpr("repo", "rel", "decl", "pos as name_pos"), [*_KEY, "decl"]
-    ).where("pos < name_pos").groupBy(*_KEY, "decl").agg(F.max_by("tok", "pos").alias("recv"))
-    methods = funcs.join(receivers, [*_KEY, "decl"], "left").where("name is not null").selectExpr(
-        "repo", "rel", "decl", "spec", "pos", "'func' as kind", "name",
-        "case when first_tok = '(' then coalesce(recv, '') end as recv",
-    )
-    return plain.unionByName(methods)
-
-
-def declares(names: DataFrame) -> DataFrame:
+
+def declares(rows: DataFrame) -> DataFrame:
     """(repo, rel, name, ord): package-level names a file declares."""
-    return names.where("recv is null and not (kind = 'func' and name in ('main', 'init'))").selectExpr(
-        "repo", "rel", "name", "pos as ord"
-    )
+    return names(rows).where("recv is null and not (kind = 'func' and name in ('main', 'init'))").select(*_KEY, "name", F.col("pos").alias("ord"))
 
 
-def methods(names: DataFrame) -> DataFrame:
+def methods(rows: DataFrame) -> DataFrame:
     """(repo, rel, recv, name): methods a file declares."""
-    return names.where("recv is not null").select("repo", "rel", "recv", "name").distinct()
+    return names(rows).where("recv is not null").select(*_KEY, "recv", "name").distinct()
 
 
-def bindings(toks: DataFrame) -> DataFrame:
-    """(repo, rel, decl, pos, name, type): parameters, fields and locals bound in each declaration.
+def uses(rows: DataFrame) -> DataFrame:
+    """(repo, rel, name): words that can only be package-level names, here or in another file."""
+    return rows.select(*_KEY, F.explode("uses").alias("name"))
 
-    ``type`` is T for x T, x *T, x := T{...} and x := &T{...}, and @f for x := f(...), where it is
-    one name of this package; else null. In a list such as ``a, b T`` every name gets the type.
-    """
-    back = W.partitionBy(*_KEY).orderBy(F.col("pos").desc()).rowsBetween(W.unboundedPreceding, -1)
-    fwd = W.partitionBy(*_KEY).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    own = lambda a, b: f"case when {b} is not null and {b} = '.' then null else {a} end"
-    kw = _KW
-    name = lambda c: f"({c} rlike '^[\\\\p{{L}}_]' and {c} not in ({kw}))"
-    # Does a type follow this name? Two adjacent names, "x []T" and "x ...T" occur nowhere else.
-    typed = (
-        f"({name('n1')} or n1 in {_TYPE_START} or (n1 = '[' and n2 = ']')"
-        f" or (n1 = '[' and n2 rlike '^[0-9]' and n3 = ']')"
-        f" or (n1 = '*' and {name('n2')} and (p1 in ('\\n', '{{', ';') or signature)))"
-    )
-    type_of = f"case when {name('n1')} then {own('n1', 'n2')} when n1 = '*' and {name('n2')} then {own('n2', 'n3')} end"
-    made = (
-        f"case when n1 = '&' and {name('n2')} and n3 = '{{' then n2 when {name('n1')} and n2 = '{{' then n1"
-        f" when {name('n1')} and n2 = '(' then concat('@', n1) end"
-    )
-    rows = toks.where("kind is not null and kind <> 'import'")
-    # Before the body of a func: its own parameters and results.
-    body = F.min(F.expr("case when kind = 'func' and tok = '{' and depth = 0 then pos end")).over(W.partitionBy(*_KEY, "decl"))
-    rows = rows.withColumn("_body", body).withColumn("signature", F.expr("kind = 'func' and pos < coalesce(_body, 2147483647)"))
-    starts_item = "p1 in ('(', ',', '\\n', '{', ';')"
-    rows = rows.withColumn("typed", F.expr(f"ident and {starts_item} and {typed}")).withColumn("type_of", F.expr(type_of))
-    # What ends the name list a name is in: a typed name, ":=", or something else.
-    end = F.expr(
-        "case when typed then named_struct('how', 'typed', 'type', type_of, 'single', true)"
-        " when tok = ':=' then named_struct('how', 'made', 'type', " + made + ", 'single', p2 is null or p2 <> ',')"
-        " when ident or tok = ',' then null else named_struct('how', 'no', 'type', cast(null as string), 'single', true) end"
-    )
-    start = F.expr("case when tok in ('var', 'const', 'type') and depth > 0 then 'var' when ident or tok = ',' then null else 'no' end")
-    rows = rows.withColumn("_end", end)
-    rows = rows.withColumn("after", F.last("_end", ignorenulls=True).over(back)).withColumn(
-        "lead_in", F.last(start, ignorenulls=True).over(fwd))
-    rows = rows.where("ident and (p1 is null or p1 <> '.')")
-    in_list = "(n1 = ',' or n1 = ':=')"
-    var_type = f"case when p1 in ('var', 'const') then {type_of} end"
-    how = (
-        f"case when typed then struct(type_of as t)"
-        f" when n1 = ',' and {starts_item} and after.how = 'typed' then struct(after.type as t)"
-        f" when {in_list} and after.how = 'made' and p1 <> ',' then struct(after.type as t)"
-        f" when {in_list} and after.how = 'made' then struct(case when after.type like '@%' then null else after.type end as t)"
-        f" when lead_in = 'var' and p1 in ('var', 'const', 'type', ',') then struct({var_type} as t)"
-        f" when kind = 'type' and p1 in ('\\n', '{{', ';') and n1 = '(' and depth > 0 then struct(cast(null as string) as t) end"
-    )
-    bound = rows.withColumn("b", F.expr(how)).where("b is not null and not starts")
-    # Names a var or const line declares at the top are package-level, not bound; fields aren't.
-    top = "kind in ('var', 'const') and (depth = 0 or (grouped and depth = 1)) and after.how <> 'made'"
-    return bound.where(f"not ({top})").selectExpr("repo", "rel", "decl", "pos", "tok as name", "b.t as type")
-
-
-def uses(toks: DataFrame, names: DataFrame, bound: DataFrame) -> DataFrame:
-    """(repo, rel, name): identifiers that can only be package-level names, here or in another file."""
-    func_names = names.where("kind = 'func'").select(*_KEY, "pos")
-    free = toks.where("ident and kind is not null and kind <> 'import' and (p1 is null or p1 <> '.')").join(
-        func_names, [*_KEY, "pos"], "left_anti"
-    ).select(*_KEY, "decl", F.col("tok").alias("name")).distinct()
-    return free.join(bound.select(*_KEY, "decl", "name").distinct(), [*_KEY, "decl", "name"], "left_anti").select(
-        *_KEY, "name").distinct()
-
-
-def called(toks: DataFrame) -> DataFrame:
+
+def called(rows: DataFrame) -> DataFrame:
     """(repo, rel, name): every x.name, for methods."""
-    return toks.where("ident and p1 = '.' and kind <> 'import'").select(*_KEY, F.col("tok").alias("name")).distinct()
+    return rows.select(*_KEY, F.explode("called").alias("name"))
+
 
+def _local_names(each: Column) -> Column:
+    """The names an import may have in its file: its own, or the likely ones of its package."""
+    clean = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?<=.)\..*\z", ""), r"\Ago-", "")
+    parts = F.split(each["path"], "/")
+    base = F.element_at(parts, -1)
+    above = F.when(base.rlike(r"\Av[0-9]+\z") & (F.size(parts) > 1), clean(F.try_element_at(parts, F.lit(-2))))
+    return F.when(each["name"].isNotNull(), F.array(each["name"])).otherwise(F.array_compact(F.array(clean(base), above)))
 
-def selectors(toks: DataFrame, imps: DataFrame) -> DataFrame:
+
+def selectors(rows: DataFrame) -> DataFrame:
     """(repo, rel, pkg, name): pkg.Name where pkg may be an imported package."""
-    base = F.element_at(F.split("path", "/"), -1)
-    clean = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?<=.)\..*\z", ""), r"\Ago-", "")
-    has_above = F.size(F.split("path", "/")) > 1
-    guesses = F.array(clean(base), F.when(base.rlike(r"\Av[0-9]+\z") & has_above, clean(F.try_element_at(F.split("path", "/"), F.lit(-2)))))
-    names = imps.select(*_KEY, F.explode(F.when(F.col("name").isNotNull(), F.array("name")).otherwise(F.array_compact(guesses))).alias("pkg")).distinct()
-    seen = toks.where("ident and p1 = '.' and kind <> 'import' and (p3 is null or p3 <> '.')").selectExpr(
-        "repo", "rel", "p2 as pkg", "tok as name").distinct()
-    return seen.join(names, [*_KEY, "pkg"], "left_semi")
+    local = F.flatten(F.transform("imports", _local_names))
+    picked = F.filter("picks", lambda p: F.array_contains(local, p["pkg"]))
+    return rows.select(*_KEY, F.inline(picked))
 
 
-def refs(toks: DataFrame, names: DataFrame, bound: DataFrame) -> DataFrame:
+def refs(rows: DataFrame) -> DataFrame:
     """(repo, dir, file, name, ref): what each declaration mentions.
 
     A method is named T.m. A reference is a plain name, ".m" for x.m, or "T.m" where x is bound to
     this package's type T in the declaration; x := newT(...) is settled by newT's first result.
     """
-    decl_names = names.selectExpr(
-        "repo", "rel", "decl", "spec", "kind", "case when recv is null then name else concat(recv, '.', name) end as name", "pos"
-    )
-    body = toks.where("kind in ('func', 'type', 'var', 'const') and ident").withColumn(
-        "is_key", F.expr("n1 = ':' and (p1 in ('{', '\\n') or (p1 = ',' and coalesce(special, '') <> 'case'))")
-    )
-    own_names = names.where("kind = 'func'").select(*_KEY, "pos")
-    body = body.join(own_names, [*_KEY, "pos"], "left_anti")
-    plain = body.where("(p1 is null or p1 <> '.') and not is_key").join(
-        bound.select(*_KEY, "decl", F.col("name").alias("tok")).distinct(), [*_KEY, "decl", "tok"], "left_anti"
-    ).selectExpr("repo", "rel", "decl", "spec", "tok as ref")
-    types = bound.where("type is not null").groupBy(*_KEY, "decl", F.col("name").alias("p2")).agg(F.min_by("type", "pos").alias("type"))
-    picked = body.where("p1 = '.'").withColumn("p2", F.expr("case when p3 is null or p3 <> '.' then p2 end"))
-    picked = picked.join(types, [*_KEY, "decl", "p2"], "left").selectExpr(
-        "repo", "rel", "decl", "spec", "tok as member", "type"
-    )
-    results = first_results(toks, names)
-    made = picked.withColumn("fn", F.expr("case when type like '@%' then substring(type, 2) end")).withColumn("dir", paths.parent(F.col("rel")))
-    made = made.join(results.select("repo", "dir", F.col("name").alias("fn"), "result"), ["repo", "dir", "fn"], "left")
-    members = made.selectExpr(
-        "repo", "rel", "decl", "spec",
-        "concat(coalesce(case when fn is not null then result else type end, ''), '.', member) as ref",
-    )
-    by_spec = decl_names.drop("pos", "kind")
-    return (
-        plain.unionByName(members).join(by_spec, [*_KEY, "decl", "spec"]).where("ref <> name")
-        .select("repo", paths.parent(F.col("rel")).alias("dir"), F.col("rel").alias("file"), "name", "ref").distinct()
-    )
-
-
-def first_results(toks: DataFrame, names: DataFrame) -> DataFrame:
-    """(repo, dir, name, result): a function's first result, when it is a type of this package."""
-    # The parameters end at the first bracket closed after the name; the result starts there.
-    funcs = names.where("kind = 'func' and recv is null").select(*_KEY, "decl", F.col("pos").alias("name_pos"), F.col("name").alias("fn"))
-    rows = toks.where("kind = 'func'").join(funcs, [*_KEY, "decl"]).where("pos > name_pos")
-    close = rows.where("tok = ')' and depth = 1").groupBy(*_KEY, "decl", "fn").agg(F.min("pos").alias("close"))
-    after = toks.join(close, [*_KEY, "decl"]).where("pos = close")
-    name = lambda c: f"({c} rlike '^[\\\\p{{L}}_]' and {c} not in ({_KW}))"
-    # ")" then T, *T, (T, (*T, (x T, (x *T
-    result = (
-        f"case when n1 = '*' and {name('n2')} then {_unqualified('n2', 'n3')}"
-        f" when {name('n1')} then {_unqualified('n1', 'n2')}"
-        f" when n1 = '(' and n2 = '*' and {name('n3')} then {_unqualified('n3', 'n4')}"
-        f" when n1 = '(' and {name('n2')} and {name('n3')} then {_unqualified('n3', 'n4')}"
-        f" when n1 = '(' and {name('n2')} and n3 = '*' and {name('n4')} then n4"
-        f" when n1 = '(' and {name('n2')} then {_unqualified('n2', 'n3')} end"
-    )
-    found = after.selectExpr("repo", "rel", "fn as name", f"{result} as result").where("result is not null")
-    return found.groupBy("repo", paths.parent(F.col("rel")).alias("dir"), "name").agg(F.max("result").alias("result"))
-
-
-def _unqualified(name: str, following: str) -> str:
-    return f"case when {following} = '.' then null else {name} end"
-
-
-def signature_symbols(toks: DataFrame, names: DataFrame) -> DataFrame:
-    """(repo, rel, symbols): function and type signatures, exported ones first."""
-    body = F.min(F.expr("case when kind = 'func' and tok = '{' and depth = 0 then pos end")).over(W.partitionBy(*_KEY, "decl"))
-    w = W.partitionBy(*_KEY, "decl").orderBy("pos")
-    funcs = toks.where("kind = 'func'").withColumn("_body", body).where("_body is null or pos < _body").where("tok <> '\\n'")
-    # Printed form: a space between words, after commas, and before a bracketed result.
-    words = "tok rlike '^[\\\\p{L}\\\\p{Nd}_\"]'"
-    spaced = funcs.withColumn("_p", F.lag("tok").over(w)).withColumn("_gap", F.expr(
-        f"case when _p is null then '' when _p = ',' then ' ' when _p rlike '^[\\\\p{{L}}\\\\p{{Nd}}_]' and ({words} or tok = '*' or tok = '...') then ' '"
-        f" when _p = 'func' and tok = '(' and depth = 0 then ' '"
-        f" when _p in (')', ']', '}}') and ({words} or tok in ('*', '(', '[')) and (depth = 0 or tok <> '(') then"
-        f"   case when _p = ']' then '' else ' ' end"
-        f" when _p rlike '^[\\\\p{{L}}_]' and tok = '[' and (n1 = ']' or n1 rlike '^[0-9]') then ' ' else '' end"
-    ))
-    # One function's header: a handful of tokens.
-    text = spaced.groupBy(*_KEY, "decl").agg(F.expr(
-        "array_join(transform(array_sort(collect_list(struct(pos, concat(_gap, tok) as t))), s -> s.t), '') as sig"))
-    fn = text.join(names.where("kind = 'func'").select(*_KEY, "decl", "name"), [*_KEY, "decl"]).where(
-        "name <> 'init'").selectExpr("repo", "rel", "decl", "0 as spec", "name", "sig")
-    kinds = names.where("kind = 'type'").select(*_KEY, "decl", "spec", "pos", "name").join(
-        toks.select(*_KEY, "pos", "n1", "n2"), [*_KEY, "pos"])
-    ty = kinds.selectExpr(
-        "repo", "rel", "decl", "spec", "name",
-        "trim(concat('type ', name, ' ', case when n1 in ('struct', 'interface', 'func', 'map') then n1 else '' end)) as sig",
-    )
-    every = fn.unionByName(ty)
-    order = "struct(case when name rlike '^\\\\p{Lu}' then 0 else 1 end as o, decl, spec, sig)"
-    from ..functions.text import one_line
+    rows = rows.withColumn("dir", paths.parent(F.col("rel")))
+    every = rows.select("repo", "dir", F.col("rel").alias("file"), F.inline("refs"))
+    results = rows.select("repo", "dir", F.inline("results")).groupBy("repo", "dir", F.col("name").alias("fn")).agg(F.max("result").alias("result"))
+    made = every.where("fn is not null").join(results, ["repo", "dir", "fn"], "left").withColumn(
+        "ref", F.concat(F.coalesce("result", F.lit("")), F.lit("."), "member"))
+    columns = ["repo", "dir", "file", "name", "ref"]
+    return every.where("fn is null").select(columns).unionByName(made.select(columns)).where("ref <> name").distinct()
 
-    return every.withColumn("sig", one_line(F.col("sig"))).groupBy(*_KEY).agg(
-        F.expr(f"transform(array_sort(collect_list({order})), s -> s.sig) as symbols"))
 
+def signature_symbols(rows: DataFrame) -> DataFrame:
+    """(repo, rel, symbols): function and type signatures, exported ones first."""
+    from ..functions.text import one_line
 
-def staged_tokens(contents: DataFrame) -> DataFrame:
-    """The token table, written once: every fact is read from it."""
-    return stage(tokens(contents), "go-tokens")[0]
+    lines = F.transform("signatures", lambda s: F.struct(s["late"], s["decl"], s["spec"], one_line(s["text"]).alias("text")))
+    return rows.where(F.size("signatures") > 0).select(*_KEY, F.transform(F.array_sort(lines), lambda s: s["text"]).alias("symbols"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import html5
 from datetime import timedelta
 
 from pyspark.sql import Column
@@ -122,43 +124,44 @@ def churn_bar(level: Column, n: Column) -> Column:
     return F.concat(F.get(glyphs, level - 1), F.lit(" "), n.cast("string"))
 
 
+# Markdown that goes, step by step: where a link leads, the brackets around its words, emphasis, and the escape in front of a sign.
+MARKDOWN = [(r"\]\([^)]*\)", "]"), (r"\]\[[^\]]*\]", "]"), (r"!?\[([^\]]*)\]", r"\1"), (r"[*_]{2}|`", ""), (r"\\([^\w\s])", r"\1")]
+# What may be left over at either end of a line.
+EDGES = "-*_> \u2002\u2003"
+
+
 def plain_text(line: Column) -> Column:
-    """Markdown without links, emphasis and escapes, trimmed; common entities unescaped."""
-    out = F.regexp_replace(line, r"!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])?", "$1")
-    out = F.regexp_replace(out, r"\*\*|__|`", "")
-    out = F.regexp_replace(out, r"\\([\\*_{}\[\]()#+.!-])", "$1")
-    out = unescape(out)
-    return F.regexp_replace(out, r"\A[-*_> \u2002\u2003]+|[-*_> \u2002\u2003]+\z", "")
-
-
-# The named entities that occur in prose; numeric ones are handled by rule.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#34;": '"', "&nbsp;": "\u00a0",
-    "&ensp;": "\u2002", "&emsp;": "\u2003", "&middot;": "·", "&bull;": "•", "&mdash;": "—", "&ndash;": "–",
-    "&hellip;": "…", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&rarr;": "→", "&larr;": "←",
-    "&laquo;": "«", "&raquo;": "»", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
-    "&times;": "×", "&amp;": "&",
-}
+    """Markdown without links, emphasis and escapes, trimmed; entities unescaped."""
+    out = line
+    for pattern, to in MARKDOWN:
+        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+    return F.trim(unescape(out), F.lit(EDGES))
+
+
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _named_entities() -> Column:
+    """The standard's table, one literal: name without ``&`` and ``;`` to characters."""
+    return F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string, string>")
 
 
 def unescape(text: Column) -> Column:
-    """Replace HTML entities, ``&amp;`` last so nothing is unescaped twice."""
-    named = text
-    for name, char in ENTITIES.items():
-        if name != "&amp;":
-            named = F.replace(named, F.lit(name), F.lit(char))
-    # Numbers by rule: the pieces between them, with each number's character in its place.
-    number = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-    gaps, hits = F.split(named, number), F.regexp_extract_all(named, F.lit(number), F.lit(0))
-    point = lambda e: F.when(
-        F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.substring(e, F.lit(4), F.length(e) - 4), 16, 10)
-    ).otherwise(F.substring(e, F.lit(3), F.length(e) - 3)).cast("int")
-    utf32 = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    valid = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
-    chars = F.transform(hits, lambda e: F.when(valid(point(e)), utf32(point(e))).otherwise(F.lit("\ufffd")))
+    """Replace HTML entities by name and number, in one pass, so nothing is unescaped twice; unknown names stay."""
+    known = _named_entities()
+    gaps, hits = F.split(text, _ENTITY), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+
+    def char(e: Column) -> Column:
+        inner = F.substring(e, F.lit(2), F.length(e) - 2)
+        point = F.when(F.lower(F.substring(inner, 2, 1)) == "x", F.conv(F.substring(inner, F.lit(3), F.length(inner)), 16, 10)).otherwise(
+            F.substring(inner, F.lit(2), F.length(inner))).cast("int")
+        valid = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point < 0x110000))
+        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.when(inner.startswith("#"), numeric).otherwise(F.coalesce(F.try_element_at(known, inner), e))
+
+    chars = F.transform(hits, char)
     joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(chars, i), F.lit("")))), "")
-    out = F.replace(F.when(F.size(hits) > 0, joined).otherwise(named), F.lit("&amp;"), F.lit("&"))
-    return F.when(text.contains("&"), out).otherwise(text)
+    return F.when(text.contains("&") & (F.size(hits) > 0), joined).otherwise(text)
 
 
 def first_sentences(text: Column, limit: int = 200) -> Column:

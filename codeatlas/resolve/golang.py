@@ -19,9 +19,7 @@ class GoTables:
     """What Go files declare and use, keyed by file."""
 
     files: DataFrame  # repo, src, dir, pkg, is_test, walk
-    tokens: DataFrame
-    names: DataFrame
-    bound: DataFrame
+    facts: DataFrame  # one row per file
     declares: DataFrame  # repo, src, name
     methods: DataFrame  # repo, src, recv, name
     uses: DataFrame  # repo, src, name
@@ -31,24 +29,25 @@ class GoTables:
 
 
 def tables(contents: DataFrame, sources: DataFrame, manifests: DataFrame) -> GoTables:
-    toks = go.staged_tokens(contents)
-    names, _ = stage(go._names(toks), "go-names")
-    bound, _ = stage(go.bindings(toks), "go-bound")
+    return tables_of(go.file_facts(contents), sources, manifests)
+
+
+def tables_of(facts: DataFrame, sources: DataFrame, manifests: DataFrame) -> GoTables:
+    """The same from ``facts`` at hand."""
     src = lambda df: df.withColumnRenamed("rel", "src")
     rel = F.col("rel")
-    files = go.packages(toks).join(sources.select("repo", "rel", "is_test"), ["repo", "rel"]).select(
+    files = go.packages(facts).join(sources.select("repo", "rel", "is_test"), ["repo", "rel"]).select(
         "repo", rel.alias("src"), paths.parent(rel).alias("dir"), "pkg", "is_test", paths.walk_key(rel).alias("walk")
     )
-    imps = go.imports(toks)
+    imps = go.imports(facts)
     modules = go_modules(manifests).select("repo", "key", F.col("dir").alias("mod_dir"))
     found = longest_prefix(imps, "path", modules)
     rest = F.substring(F.col("path"), F.length("key") + 2, F.length("path"))
     to_dir = F.when(rest == "", F.col("mod_dir")).otherwise(paths.join(F.col("mod_dir"), rest))
     dirs = found.select("repo", "path", to_dir.alias("to_dir"))
     return GoTables(
-        stage(files, "go-files")[0], toks, names, bound, src(go.declares(names)), src(go.methods(names)),
-        stage(src(go.uses(toks, names, bound)), "go-uses")[0], src(go.called(toks)),
-        stage(src(imps).join(dirs, ["repo", "path"], "left"), "go-imports")[0], src(go.selectors(toks, imps)),
+        stage(files, "go-files")[0], facts, src(go.declares(facts)), src(go.methods(facts)), src(go.uses(facts)), src(go.called(facts)),
+        src(imps).join(dirs, ["repo", "path"], "left"), src(go.selectors(facts)),
     )
 
 

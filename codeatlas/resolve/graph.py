@@ -72,17 +72,13 @@ def build(
 def all_symbols(contents: DataFrame, graph: CodeGraph | None = None) -> DataFrame:
     """(repo, rel, symbols): the declarations of every source file, exported Go ones first.
 
-    A ``graph`` of the same contents lends its Go tokens.
+    A ``graph`` of the same contents lends its Go facts.
     """
     from ..extract import decls, golang as go
 
     texts = readable(contents)
-    if graph is not None and graph.go is not None:
-        toks, names = graph.go.tokens, graph.go.names
-    else:
-        toks = go.staged_tokens(texts)
-        names, _ = stage(go._names(toks), "go-names")
-    return decls.symbols(texts).unionByName(go.signature_symbols(toks, names))
+    facts = graph.go.facts if graph is not None and graph.go is not None else go.file_facts(texts)
+    return decls.symbols(texts).unionByName(go.signature_symbols(facts))
 
 
 def declarations(graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
@@ -90,9 +86,8 @@ def declarations(graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
     from ..extract import golang as go
     from ..functions import paths
 
-    t = graph.go
-    decls = t.names.select(
+    decls = go.names(graph.go.facts).select(
         "repo", paths.parent(F.col("rel")).alias("dir"), F.col("rel").alias("file"),
         F.expr("case when recv is null then name else concat(recv, '.', name) end").alias("name"),
     ).distinct()
-    return decls, stage(go.refs(t.tokens, t.names, t.bound), "go-refs")[0]
+    return decls, stage(go.refs(graph.go.facts), "go-refs")[0]

@@ -1,8 +1,10 @@
 """Refreshing a corpus: only new and changed texts are extracted again.
 
-A file that is only edited can't change how others' imports resolve, with two exceptions that
-make its whole repository be resolved anew: packages that re-export names, and Go, where links
-follow from what the other files declare. So do added and removed files and manifests.
+A file that is only edited can't change how others' imports resolve, with an exception that makes its whole
+repository be resolved anew: packages that re-export names. So do added and removed files and manifests.
+
+In Go links follow from what the other files declare. There the kept facts serve as an index from names to the files that use
+them, and only the users of names that came, went or moved are resolved again (:func:`update_go`).
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..extract.imports import import_specs
 from ..functions import labels, paths
+from ..extract import golang as go
+from ..resolve import golang
 from ..resolve.graph import spec_links
 from ..sources.corpus import readable, selected
 from ..storage import stage
@@ -31,11 +35,11 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def repos_to_resolve(changed: DataFrame) -> DataFrame:
-    """(repo): repositories where a change can move other files' links."""
+    """(repo): repositories where a change can move other files' links, Go aside."""
     name = paths.base(F.col("rel"))
-    structural = F.col("change").isin("added", "removed") & selected(F.col("rel"), True)
+    structural = F.col("change").isin("added", "removed") & selected(F.col("rel"), True) & ~name.endswith(".go")
     config = name.isin(*MANIFESTS) | name.endswith(".json")
-    exporting = (name == "__init__.py") | name.endswith(".go")
+    exporting = name == "__init__.py"
     return changed.where(structural | config | exporting).select("repo").distinct()
 
 
@@ -59,3 +63,62 @@ def update(
     moved = spec_links(ask, sources, texts, files)
     still = links.join(dirty, "repo", "left_anti").join(touched.withColumnRenamed("rel", "src"), ["repo", "src"], "left_anti")
     return new_specs, stage(still.unionByName(moved), "links")[0]
+
+
+def _moved_names(before: golang.GoTables, after: golang.GoTables, touched: DataFrame) -> DataFrame:
+    """(repo, dir, name): names that a touched file declares in only one of the two snapshots, or in another package or kind of file."""
+    def rows(t: golang.GoTables) -> DataFrame:
+        place = t.files.join(touched.withColumnRenamed("rel", "src"), ["repo", "src"], "left_semi")
+        plain = t.declares.select("repo", "src", "name", F.lit("").alias("recv"))
+        every = plain.unionByName(t.methods.select("repo", "src", "name", "recv"))
+        return every.join(place, ["repo", "src"]).select("repo", "dir", "pkg", "name", "recv", "src", "is_test")
+
+    a, b = rows(before), rows(after)
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).select("repo", "dir", "name", "recv").distinct()
+
+
+def _users(t: golang.GoTables, moved: DataFrame, regrouped: DataFrame) -> DataFrame:
+    """(repo, src): files whose links follow from ``moved(repo, dir, name, recv)``, or from the files of a ``regrouped(repo, dir)`` package."""
+    here = t.files.select("repo", "src", "dir")
+    names = moved.select("repo", "dir", "name").distinct()
+    inside = t.uses.join(here, ["repo", "src"]).join(names, ["repo", "dir", "name"], "left_semi").select("repo", "src")
+    # A type that moves takes its methods' links along.
+    of_types = t.methods.join(here, ["repo", "src"]).join(names.withColumnRenamed("name", "recv"), ["repo", "dir", "recv"], "left_semi")
+    methods = moved.where("recv <> ''").select("repo", "dir", "name").unionByName(of_types.select("repo", "dir", "name")).distinct()
+    calling = t.called.join(here, ["repo", "src"]).join(methods, ["repo", "dir", "name"], "left_semi").select("repo", "src")
+    into = t.imports.where("to_dir is not null").select("repo", "src", F.col("to_dir").alias("dir")).distinct()
+    picking = t.selectors.select("repo", "src", "name").distinct().join(names, ["repo", "name"]).join(into, ["repo", "src", "dir"], "left_semi").select("repo", "src")
+    whole = into.join(regrouped, ["repo", "dir"], "left_semi").select("repo", "src")
+    return inside.unionByName(calling).unionByName(picking).unionByName(whole).distinct()
+
+
+def update_go(
+    facts: DataFrame, edges: DataFrame, old_sources: DataFrame, changed: DataFrame, contents: DataFrame, sources: DataFrame,
+    old_contents: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New (facts, edges) of Go, and the (repo, src) files resolved again, from the old ones and the ``changed`` files.
+
+    Only texts of changed files are read; ``contents`` and ``sources`` describe the new snapshot, ``old_sources`` the old one. A changed go.mod moves
+    import paths: all files of its repository are resolved again; ``old_contents`` then tells the old paths (else the new ones serve).
+    """
+    texts = readable(contents)
+    touched = changed.where(F.col("rel").endswith(".go")).select("repo", "rel", "change")
+    ask = touched.where("change <> 'removed'").select("repo", "rel").join(sources.select("repo", "rel"), ["repo", "rel"], "left_semi")
+    fresh = go.file_facts(texts.join(ask, ["repo", "rel"], "left_semi"))
+    new_facts, _ = stage(facts.join(touched.select("repo", "rel"), ["repo", "rel"], "left_anti").unionByName(fresh), "go-facts")
+    modules = lambda df: df.where(paths.base(F.col("rel")) == "go.mod")
+    before = golang.tables_of(facts, old_sources, modules(texts if old_contents is None else readable(old_contents)))
+    after = golang.tables_of(new_facts, sources, modules(texts))
+    moved, _ = stage(_moved_names(before, after, touched.select("repo", "rel")), "moved-names")
+    # A package whose files or package clauses changed: who takes it whole, or by another name, follows its files.
+    clause = lambda t: t.files.join(touched.select("repo", F.col("rel").alias("src")), ["repo", "src"], "left_semi").select("repo", "dir", "src", "pkg", "is_test")
+    regrouped = clause(before).exceptAll(clause(after)).unionByName(clause(after).exceptAll(clause(before))).select("repo", "dir").distinct()
+    dirty = changed.where(paths.base(F.col("rel")) == "go.mod").select("repo").distinct()
+    again = _users(before, moved, regrouped).unionByName(_users(after, moved, regrouped)).unionByName(
+        touched.select("repo", F.col("rel").alias("src"))).unionByName(after.files.join(dirty, "repo", "left_semi").select("repo", "src"))
+    again, _ = stage(again.distinct(), "go-again")
+    only = lambda df: df.join(again, ["repo", "src"], "left_semi")
+    asking = golang.GoTables(after.files, after.facts, after.declares, after.methods, only(after.uses), only(after.called), only(after.imports), only(after.selectors))
+    found = golang.edges(asking).join(again, ["repo", "src"], "left_semi").select("repo", "src", "dst").distinct()
+    own = edges.where(F.col("src").endswith(".go")).join(again, ["repo", "src"], "left_anti").select("repo", "src", "dst")
+    return new_facts, stage(own.unionByName(found), "edges")[0], again
