@@ -107,12 +107,15 @@ def reach(
     ``parents`` adds ``parent_id``, ``parent_rel`` (the earliest reached neighbour that led there)
     and ``via`` (the same, from the second hop on).
 
-    Each level is one checkpointed step: frontier joined to neighbours, reduced to one row per
-    file, minus what was seen. The measured size decides between broadcast and shuffle.
+    Without parents a level is one row per file reached, however many starts reach it (:func:`_reach_sets`).
+    With them it is one row per start and file, in one checkpointed step: frontier joined to neighbours, reduced
+    to one row, minus what was seen. The measured size decides between broadcast and shuffle.
     """
     links = neighbours(edges, files, reverse, fixtures)
     if no_tests:
         links = links.where("not next_test")
+    if not parents:
+        return _reach_sets(links, files, starts, depth)
     frontier, size = checkpoint(_seeds(links, files, starts), ROW_BYTES)
     seen, seen_bytes = starts.select("repo", "start", "id"), size["bytes"]
     levels: list[DataFrame] = []
@@ -127,6 +130,57 @@ def reach(
     return _collect_levels(levels, files, starts, parents)
 
 
+# A row of a level holds sets of starts, 64 to a number; more starts than fit into one row's numbers make further blocks.
+SET_NUMBERS = 16
+
+
+def _reach_sets(links: DataFrame, files: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
+    """Reach with sets of starts: per node, a bit for every start of a block that has come there.
+
+    A level's step sends each node's new bits along its links and ors them with the node's earlier ones in one
+    aggregation, combined before its shuffle; no level is compared with all earlier ones. Starts become rows only in the result.
+    """
+    numbered = number_rows(starts.select("repo", "start").distinct(), ["repo"], [F.col("start")], "_n")
+    numbered, seen = stage(numbered, "starts", most=F.max("_n"))
+    n = max(1, min(SET_NUMBERS, -(-(seen["most"] or 0) // 64)))
+    at = lambda name: [f"{name}{i}" for i in range(n)]
+    here = numbered.selectExpr("repo", "start", f"cast((_n - 1) div {64 * n} as int) as block", f"cast((_n - 1) % {64 * n} as int) as bit")
+    fan_out = links.join(starts.select("repo", F.col("id").alias("node")).distinct(), ["repo", "node"], "left_semi").groupBy("repo", "node").agg(
+        F.expr("max(key) + 1 as keys"))
+    seeds = starts.join(files.select("repo", "id"), ["repo", "id"]).join(here, ["repo", "start"]).withColumnRenamed("id", "node")
+    mine = [f"bit_or(case when bit div 64 = {i} then shiftleft(1L, bit % 64) else 0L end) as f{i}" for i in range(n)]
+    state = seeds.join(fan_out, ["repo", "node"]).groupBy("repo", "block", "node").agg(F.max("keys").alias("keys"), *[F.expr(e) for e in mine])
+    state = state.selectExpr("repo", "block", "node", "keys", *[f"f{i} as s{i}" for i in range(n)], *at("f"))
+    new = " or ".join(f"{f} <> 0" for f in at("f"))
+    width = F.expr(f"cast(coalesce(sum(case when {new} then 100 + 16 * {n} else 0 end), 0) as bigint)")
+    state, size = stage(state, "reach", bytes=width)
+    levels: list[DataFrame] = []
+    while size["bytes"] and (depth is None or len(levels) < depth):
+        front = small(state.where(new).selectExpr("repo", "block", "node", "explode(sequence(0, keys - 1)) as key", *at("f")), size["bytes"])
+        came = links.join(front, ["repo", "node", "key"]).selectExpr(
+            "repo", "block", "next as node", "next_keys as keys", *[f"0L as s{i}" for i in range(n)], *at("f"))
+        both = state.selectExpr("repo", "block", "node", "keys", *at("s"), *[f"0L as f{i}" for i in range(n)]).unionByName(came)
+        ored = both.groupBy("repo", "block", "node").agg(F.max("keys").alias("keys"), *[F.expr(f"bit_or({c}) as {c}") for c in at("s") + at("f")])
+        state, size = stage(ored.selectExpr(
+            "repo", "block", "node", "keys", *[f"s{i} | f{i} as s{i}" for i in range(n)], *[f"f{i} & ~s{i} as f{i}" for i in range(n)]
+        ), "reach", bytes=width)
+        if size["bytes"]:
+            levels.append(state.where(new).selectExpr("repo", "block", "node as id", *at("f"), f"{len(levels) + 1} as depth"))
+    if not levels:
+        return _collect_levels([], files, starts, False)
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    # One row per block: the starts its bits stand for, at most 64 * SET_NUMBERS.
+    names = here.groupBy("repo", "block").agg(F.expr("transform(array_sort(collect_list(struct(bit, start))), x -> x.start) as names"))
+    rows = found.join(files.select("repo", "id", "rel", "is_test"), ["repo", "id"]).join(names, ["repo", "block"])
+    words = rows.selectExpr("repo", "id", "rel", "is_test", "depth", "names", f"posexplode(array({', '.join(at('f'))})) as (word, bits)").where("bits <> 0")
+    return words.selectExpr(
+        "repo", "explode(transform(filter(sequence(0, 63), b -> shiftright(bits, b) & 1 = 1), b -> names[word * 64 + b])) as start",
+        "id", "rel", "is_test", "depth",
+    )
+
+
 # Bytes of one frontier row for the broadcast check: its path twice, and the fixed columns.
 ROW_BYTES = "2 * octet_length(rel) + 200"
 

@@ -20,7 +20,7 @@ from .tree import folder_summary, folders
 
 # How many files a line names.
 MAX_FILES, MAX_ROOT_FILES = 8, 40
-TRUNCATED = "(truncated: raise --budget for more detail)\n"
+TRUNCATED = "(more folders than the budget holds)\n"
 
 
 def _file_lists(files: DataFrame) -> DataFrame:

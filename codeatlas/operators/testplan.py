@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..extract.manifests import cargo_tests, js_packages
 from ..functions import labels, paths
 from ..resolve.common import nearest
+from .ranking import running_total
 
 # Project files by preference, and runners by dependency.
 PY_PROJECT_FILES = ["pyproject.toml", "setup.cfg", "tox.ini", "pytest.ini", "setup.py"]
@@ -15,6 +16,10 @@ PYTEST = ["python", "-m", "pytest"]
 JS_RUNNERS = {"vitest": ["npx", "vitest", "run"], "jest": ["npx", "jest"], "ava": ["npx", "ava"], "mocha": ["npx", "mocha"]}
 
 
+#: Bytes of arguments that one command may have; more tests go into further commands.
+ARGUMENT_BYTES = 96 * 1024
+
+
 def _strings(words: list[str]):
     return F.array(*[F.lit(w) for w in words])
 
@@ -39,10 +44,23 @@ def js_runners(contents: DataFrame) -> DataFrame:
     return listed.join(js_packages(contents).select("repo", "at", choice.alias("runner")), ["repo", "at"], "left")
 
 
-def test_commands(tests: DataFrame, contents: DataFrame) -> DataFrame:
-    """(repo, dir, argv): one command per project and runner; tests without a runner get none.
+def _batched(args: DataFrame, most: int) -> DataFrame:
+    """(repo, dir, runner, batch, words) of ``args(repo, dir, runner, ord, words)``, in order, with at most ``most`` bytes a batch.
+
+    The running size decides, so a project of any number of tests is never gathered in one row. A single argument over the bound is a batch.
+    """
+    cost = F.expr("cast(aggregate(words, 0, (n, w) -> n + octet_length(w) + 1) as bigint)")
+    placed = running_total(args.withColumn("_cost", cost).withColumn("_by", F.to_json("runner")), ["repo", "dir", "_by"], [F.col("ord")], "_cost", "_used")
+    # A batch begins where the running size passes a multiple of half the bound: no batch is larger than the bound but for one argument.
+    batch = F.floor((F.col("_used") - F.col("_cost")) / (most // 2)).cast("long")
+    listed = F.array_sort(F.collect_list(F.struct("ord", "words")))  # at most ``most`` bytes
+    return placed.groupBy("repo", "dir", "runner", batch.alias("batch")).agg(F.flatten(F.transform(listed, lambda s: s["words"])).alias("words"))
+
+
+def test_commands(tests: DataFrame, contents: DataFrame, most: int = ARGUMENT_BYTES) -> DataFrame:
+    """(repo, dir, batch, argv): one command per project and runner, or several if the arguments pass ``most`` bytes.
 
-    Paths are relative to ``dir``. The nearest project decides, even if it names no runner.
+    Tests without a runner get none. Paths are relative to ``dir``. The nearest project decides, even if it names no runner.
     """
     rel = F.col("rel")
     lang = labels.source_lang(rel)
@@ -57,12 +75,12 @@ def test_commands(tests: DataFrame, contents: DataFrame) -> DataFrame:
         below = F.when(F.col("at") == ".", rel).otherwise(F.substring(rel, F.length("at") + 2, F.length(rel)))
         one = own.select("repo", F.col("at").alias("dir"), F.col("value").alias("runner"), below.alias("arg"))
         found = one if found is None else found.unionByName(one)
-    plain = found.groupBy("repo", "dir", "runner").agg(F.array_sort(F.collect_list("arg")).alias("args"))
-    out = plain.select("repo", "dir", F.concat("runner", "args").alias("argv"))
-    return out.unionByName(_cargo_commands(rows.where("lang = 'rs'"), contents))
+    plain = found.select("repo", "dir", "runner", F.col("arg").alias("ord"), F.array("arg").alias("words"))
+    every = plain.unionByName(_cargo_targets(rows.where("lang = 'rs'"), contents))
+    return _batched(every, most).select("repo", "dir", "batch", F.concat("runner", "words").alias("argv"))
 
 
-def _cargo_commands(tests: DataFrame, contents: DataFrame) -> DataFrame:
+def _cargo_targets(tests: DataFrame, contents: DataFrame) -> DataFrame:
     """Files right in a crate's tests folder, and declared targets there, by name."""
     declared, auto = cargo_tests(contents)
     crate = tests.where((F.col("dir") == "tests") | F.col("dir").endswith("/tests")).select(
@@ -71,8 +89,6 @@ def _cargo_commands(tests: DataFrame, contents: DataFrame) -> DataFrame:
     rows = crate.join(auto, ["repo", "at"]).join(declared, ["repo", "at", "file"], "left")
     name = F.coalesce("name", F.when(F.col("auto"), F.regexp_replace(paths.base(F.col("rel")), r"\.rs\z", "")))
     named = rows.select("repo", "at", "rel", name.alias("name")).where("name is not null")
-    each = F.array_sort(F.collect_list(F.struct("rel", "name")))
-    return named.groupBy("repo", F.col("at").alias("dir")).agg(each.alias("t")).select(
-        "repo", "dir",
-        F.concat(_strings(["cargo", "test"]), F.flatten(F.transform("t", lambda s: F.array(F.lit("--test"), s["name"])))).alias("argv"),
+    return named.select(
+        "repo", F.col("at").alias("dir"), _strings(["cargo", "test"]).alias("runner"), F.col("rel").alias("ord"), F.array(F.lit("--test"), "name").alias("words")
     )

@@ -618,9 +618,9 @@ def one_line(spark, sf):
 
 
 @bound("plain_text", r"""
-select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
-  '!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])?', '\1', 'g'), '\*\*|__|`', '', 'g'),
-  '\\([\\*_{}\[\]()#+.!-])', '\1', 'g'), '^[-*_> \x{2002}\x{2003}]+|[-*_> \x{2002}\x{2003}]+$', '', 'g') as plain
+select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
+  '\]\([^)]*\)', ']', 'g'), '\]\[[^\]]*\]', ']', 'g'), '!?\[([^\]]*)\]', '\1', 'g'), '[*_]{2}|`', '', 'g'),
+  '\\([^\w\s])', '\1', 'g'), '-*_> ' || chr(8194) || chr(8195)) as plain
 from (select doc_id, text as x from documents)""")
 def plain_text(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", text.plain_text(F.col("text")).alias("plain"))
@@ -762,13 +762,12 @@ union all select src_dir||'/'||tag||'.go', 'package', string_split(src_dir,'/')[
 def go_token_facts(spark, sf):
     from ..extract import golang as go
 
-    toks = go.staged_tokens(views.code(spark, sf, "go"))
-    imps = go.imports(toks)
+    rows = go.file_facts(views.code(spark, sf, "go"))
     fact = lambda df, kind, name: df.select("rel", F.lit(kind).alias("fact"), name.alias("name"))
-    out = fact(go.declares(go._names(toks)), "declares", F.col("name"))
-    out = out.unionByName(fact(imps, "imports", F.col("path")))
-    out = out.unionByName(fact(go.selectors(toks, imps), "selects", F.concat_ws(".", "pkg", "name")))
-    return out.unionByName(fact(go.packages(toks), "package", F.col("pkg")))
+    out = fact(go.declares(rows), "declares", F.col("name"))
+    out = out.unionByName(fact(go.imports(rows), "imports", F.col("path")))
+    out = out.unionByName(fact(go.selectors(rows), "selects", F.concat_ws(".", "pkg", "name")))
+    return out.unionByName(fact(go.packages(rows), "package", F.col("pkg")))
 
 
 # ---- ancestor, prefix and suffix joins --------------------------------------------------
@@ -1163,3 +1162,7 @@ def report_deps_why(spark, sf):
     g = code_graph.build(views.code(spark, sf, "js"))
     starts = g.files.select("repo", "rel")
     return reports.related(g, starts, reverse=False).drop("is_test")
+
+
+# Further queries register themselves here.
+from . import more_queries, projects  # noqa: E402, F401

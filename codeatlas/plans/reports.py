@@ -67,30 +67,30 @@ def used_signatures(
 ) -> DataFrame:
     """(repo, src, dst, ord, symbol): declarations of ``dst`` that ``src`` uses, for ``links(repo, src, dst)``.
 
-    Go names are exact; elsewhere a declaration counts when its name occurs in the text. Names are
-    matched as equi-joins with the words of a text, never text by text. ``names`` are the exact
-    names along Go links, if the corpus has any.
+    Go names are exact; elsewhere a declaration counts when its name occurs in the text. The words of the texts are an index that is cut
+    to declared names first; a link then meets only the words its own file says, and those the declarations of its
+    target. ``names`` are the exact names along Go links, if the corpus has any.
     """
     pair = ["repo", "src", "dst"]
     each = symbols.select("repo", F.col("rel").alias("dst"), F.posexplode("symbols").alias("ord", "symbol"))
     each = each.withColumn("name", F.regexp_extract("symbol", decl_patterns.DECLARED_NAME, 1)).withColumn(
         "recv", F.nullif(F.regexp_extract("symbol", decl_patterns.GO_METHOD, 1), F.lit(""))).where("name <> ''")
-    rows = links.select(*pair).join(each, ["repo", "dst"])
+    links = links.select(*pair).distinct()
     sources = links.select("repo", F.col("src").alias("rel")).distinct()
     words = contents.join(sources, ["repo", "rel"], "left_semi").select(
         "repo", F.col("rel").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))).alias("name")
-    )
-    said = rows.join(words.withColumn("said", F.lit(True)), ["repo", "src", "name"], "left")
+    ).join(each.select("repo", "name").distinct(), ["repo", "name"], "left_semi")
+    said = links.join(words, ["repo", "src"]).join(each, ["repo", "dst", "name"])
     if names is None:
-        return said.where("said").select(*pair, "ord", "symbol")
-    exact = names.join(links.select(*pair), pair, "left_semi").select(*pair, "name").distinct()
-    said = said.join(exact.withColumn("exact", F.lit(True)), [*pair, "name"], "left")
-    said = said.join(exact.select(*pair, F.col("name").alias("recv"), F.lit(True).alias("typed")), [*pair, "recv"], "left")
-    known = exact.select(*pair).distinct().withColumn("named", F.lit(True))
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    keep = F.when(~yes("named"), yes("said")).when(F.col("recv").isNull(), yes("exact")).otherwise(
-        (yes("typed") & yes("said")) | yes("exact"))
-    return said.join(known, pair, "left").where(keep).select(*pair, "ord", "symbol")
+        return said.select(*pair, "ord", "symbol")
+    said, _ = stage(said, "said")
+    exact = names.join(links, pair, "left_semi").select(*pair, "name").distinct()
+    loose = said.join(exact.select(*pair).distinct(), pair, "left_anti")
+    named = exact.join(each, ["repo", "dst", "name"])
+    # A method of a used type that the text calls.
+    methods = said.where("recv is not null").join(exact.select(*pair, F.col("name").alias("recv")), [*pair, "recv"], "left_semi")
+    columns = [*pair, "ord", "symbol"]
+    return loose.select(columns).unionByName(named.select(columns)).unionByName(methods.select(columns)).distinct()
 
 
 # The sections of a file's context, and the share of what is left each may spend.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeatlas import storage
 from codeatlas.operators import graph, ranking, tree
-from codeatlas.operators.structure import structure
+from codeatlas.operators.structure import TRUNCATED, structure
 
 
 def make_graph(spark, edges, n, tests=()):
@@ -180,7 +180,7 @@ def plain_structure(rels, tokens):
             for c in dirs(n):
                 (later if c[:-1] in LOW else queue).append((c, n[c], d + 1))
     out = head(40) + render(root, 0, is_open, 8)
-    return out + ("(truncated: raise --budget for more detail)\n" if len(out.encode()) > room else "")
+    return out + (TRUNCATED if len(out.encode()) > room else "")
 
 
 def test_structure_against_a_plain_walk(spark):
