@@ -1,14 +1,18 @@
 """Frequent phrases and their collocation scores, mined after Toivonen.
 
-A sample of the documents proposes phrases, at a lowered threshold. One pass over all documents counts the proposals
-and their negative border exactly: the border is every phrase that wasn't proposed although the phrases without its first
-and without its last word were, all single words among them. A frequent phrase outside the proposals is a border
-failure; it joins the proposals, and a further pass counts the border that it adds, until a pass finds none. Then every frequent phrase
-has been counted over all documents, whatever the sample missed.
+A sample of the documents proposes phrases, at a lowered threshold. Passes over all documents then count the proposals and their
+negative border exactly: the border is every phrase that wasn't proposed although the phrases without its first and without its last
+word were. Single words, the border of the empty phrase, are counted first, so that the border of longer phrases is built
+on words that are frequent. A frequent phrase outside the proposals is a border failure. It joins the proposals, and an expansion pass
+counts all that may follow from it, to the full length: phrases whose two shorter ones are frequent or weren't counted yet. After that
+every frequent phrase has been counted over all documents, whatever the sample missed.
+
+The border is large and nearly all of it rare. It is counted by 64-bit hashes of its phrases first; those whose hash reaches the threshold are
+counted again by their words. A hash counts at least what each of its phrases does, so none is lost, and what is returned is counted by words.
 
 Proposals travel as a bit table of fixed size (``FILTER_BITS``, a documented parameter): a bit set by chance only makes a
-pass count a phrase more, so results are exact at any fill. Tasks count whole words and phrases, not hashes, and
-add up per step of ``STEP_BYTES`` bytes before the shuffle; a longer text goes through in slices that carry the last words over.
+pass count a phrase more, so results are exact at any fill. Tasks add up per step of ``STEP_BYTES`` bytes before the shuffle; a longer text goes
+through in slices that carry the last words over.
 
 Nulls: a null text is empty, a null language ``und``. Repeated rows count as often as they occur. Ties in the ranking can't remain, as a
 phrase is once in a language. Columns other than text, lang and doc_id aren't read. An empty table gives no rows.
@@ -17,6 +21,7 @@ phrase is once in a language. Columns other than text, lang and doc_id aren't re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -26,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import top
+from ..operators.ranking import number_rows
 from ..storage import stage
 from .common import small_batches, steps
 
 #: Words of the longest phrase, least count, and rows of a language's report.
 LONGEST, LEAST, REPORT = 5, 100, 2000
-#: A document in so many is in the sample. Its threshold is the share of LEAST there, halved.
+#: A document in so many is in the sample. Its threshold is a quarter of LEAST's share there.
 SAMPLE = 8
 #: Bits of the table of proposals (8 MiB).
 FILTER_BITS = 26
@@ -40,7 +45,8 @@ FILTER_BITS = 26
 STEP_BYTES = 3 << 20
 
 UNKNOWN = "und"
-COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
+COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+HASHED = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
 # What a byte is: part of a word, between words, or the end of a piece.
 _KIND = np.zeros(256, np.uint8)
@@ -127,66 +133,79 @@ class Words:
         self.hashes = _mixed(_hashes(text.dictionary)[pair % n] + of_lang[pair // n]) if len(pair) else np.empty(0, np.uint64)
 
 
-def _rows(words: Words, at: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
-    """Counts of the phrases of ``k`` words at the places ``at``; equal ``ids`` are equal phrases."""
+def _tally(at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct id, one of its places and how many it has."""
     n = np.bincount(ids)
     place = np.zeros(len(n), np.int64)
-    place[ids] = at  # any of its places
-    at, n = place[n > 0], n[n > 0]
+    place[ids] = np.arange(len(at))
+    return place[n > 0], n[n > 0].astype(np.int64)
+
+
+def _spelled(words: Words, at: np.ndarray, n: np.ndarray, k: int) -> pa.RecordBatch:
     parts = [words.words.take(pa.array(words.ids[at + j])) for j in range(k)]
     phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
     lang = words.langs.take(pa.array(words.ids[at]))
-    return pa.RecordBatch.from_arrays(
-        [lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(at), k, np.int32)), pa.array(n.astype(np.int64))], schema=COUNTED
-    )
+    return pa.RecordBatch.from_arrays([lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(n)], schema=COUNTED)
 
 
-def counted(words: Words, fresh: int, now: np.ndarray, old: np.ndarray | None, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases that ``now`` asks for and ``old`` didn't, of those that end at word ``fresh`` or later.
+def singles(words: Words, fresh: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the words from ``fresh`` on, and their sum per language as a phrase of no words."""
+    at = np.arange(fresh, len(words.ids))
+    if len(at):
+        first, n = _tally(at, words.ids[at])
+        counts = _spelled(words, at[first], n, 1)
+        yield counts
+        total = pa.table([counts.column("lang"), counts.column("n")], names=["lang", "n"]).group_by("lang").aggregate([("n", "sum")])
+        blank = pa.array([""] * total.num_rows, pa.string())
+        yield pa.RecordBatch.from_arrays([total["lang"].combine_chunks(), blank, total["n_sum"].combine_chunks()], schema=COUNTED)
 
-    Without ``old`` all single words count as well, and their sum per language comes as a phrase of no words.
-    """
-    ids, n = words.ids, len(words.ids)
+
+@dataclass(frozen=True)
+class Pass:
+    """What a pass counts: the proposals ``now`` with their border, less what a pass with ``old`` counted; of that only what ``likely`` holds."""
+
+    now: np.ndarray
+    old: np.ndarray | None = None
+    likely: np.ndarray | None = None
+
+
+def longer(words: Words, fresh: int, p: Pass, longest: int, hashed: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of phrases of two words and more that end at word ``fresh`` or later, by their words or by their hashes."""
+    ids, n, own = words.ids, len(words.ids), words.hashes
     if not n:
         return
-    if old is None and fresh < n:
-        at = np.arange(fresh, n)
-        singles = _rows(words, at, ids[at], 1)
-        yield singles
-        total = pa.table(singles.columns, names=COUNTED.names).group_by("lang").aggregate([("n", "sum")])
-        blank = pa.array([""] * total.num_rows, pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [total["lang"].combine_chunks(), blank, pa.array(np.zeros(total.num_rows, np.int32)), total["n_sum"].combine_chunks()], schema=COUNTED
-        )
-    own = words.hashes
-    has = {1: _has(now, own)[ids]}
-    had = {1: _has(old, own)[ids] if old is not None else np.zeros(n, bool)}
     at, phrase, h = np.arange(n), ids, own[ids]
-    last_has, last_had = has[1], had[1]
+    # Where a phrase of the length before begins that is or may be frequent, and one that the earlier pass took for proposed.
+    maybe = _has(p.now, own)[ids]
+    had = _has(p.old, own)[ids] if p.old is not None else np.zeros(n, bool)
     for k in range(2, longest + 1):
-        # Places whose phrase of k words is asked for: it runs on, and both phrases of k - 1 words are in the table.
-        asked = np.zeros(n, bool)
-        asked[:-1] = last_has[:-1] & last_has[1:] & words.goes_on[:-1]
-        before = np.zeros(n, bool)
-        before[:-1] = last_had[:-1] & last_had[1:] & words.goes_on[:-1]
+        asked, before = np.zeros(n, bool), np.zeros(n, bool)
+        asked[:-1] = maybe[:-1] & maybe[1:] & words.goes_on[:-1]
+        before[:-1] = had[:-1] & had[1:] & words.goes_on[:-1]
         keep = asked[at]
         at, phrase, h = at[keep], phrase[keep], h[keep]
         if not len(at):
             return
         following = at + k - 1
-        phrase = phrase.astype(np.int64) * len(own) + ids[following]
-        dense = pa.array(phrase).dictionary_encode()
+        dense = pa.array(phrase.astype(np.int64) * len(own) + ids[following]).dictionary_encode()
         phrase = dense.indices.to_numpy(zero_copy_only=False)
         h = _longer(h, own[ids[following]])
-        new = ~before[at] & (following >= fresh)
+        known = before[at]
+        new = ~known & (following >= fresh)
+        if p.likely is not None:
+            new &= _has(p.likely, h)
         if new.any():
-            yield _rows(words, at[new], phrase[new], k)
+            first, count = _tally(at[new], phrase[new])
+            if hashed:
+                yield pa.RecordBatch.from_arrays([pa.array(h[new][first].view(np.int64)), pa.array(count)], schema=HASHED)
+            else:
+                yield _spelled(words, at[new][first], count, k)
         if k == longest:
             return
-        last_has, last_had = np.zeros(n, bool), np.zeros(n, bool)
-        last_has[at] = _has(now, h)
-        if old is not None:
-            last_had[at] = before[at] & _has(old, h)
+        maybe, had = np.zeros(n, bool), np.zeros(n, bool)
+        maybe[at] = _has(p.now, h) | (~known if p.old is not None else False)
+        if p.old is not None:
+            had[at] = known & _has(p.old, h)
 
 
 def _ended(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -227,50 +246,70 @@ def _bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(mask.view(np.int64))], names=["slot", "mask"])
 
 
-def bit_table(phrases: DataFrame, bits: np.ndarray) -> np.ndarray:
-    """``bits`` with those of ``phrases(lang, phrase)`` set; at most 2**FILTER_BITS / 64 rows reach the driver."""
-    found = phrases.select("lang", "phrase").mapInArrow(_bit_rows, "slot bigint, mask bigint").groupBy("slot").agg(F.expr("bit_or(mask) as mask")).toArrow()
+def _bits(rows: DataFrame, bits: np.ndarray) -> np.ndarray:
+    """``bits`` with those of ``rows(slot, mask)`` set; at most 2**FILTER_BITS / 64 rows reach the driver."""
+    found = rows.groupBy("slot").agg(F.expr("bit_or(mask) as mask")).toArrow()
     out = bits.copy()
     out[found["slot"].to_numpy()] |= found["mask"].to_numpy().view(np.uint64)
     return out
 
 
+def bit_table(phrases: DataFrame, bits: np.ndarray) -> np.ndarray:
+    """``bits`` with those of ``phrases(lang, phrase)`` set."""
+    return _bits(phrases.select("lang", "phrase").mapInArrow(_bit_rows, "slot bigint, mask bigint"), bits)
+
+
+def _hash_table(hashes: DataFrame) -> np.ndarray:
+    """The table of ``hashes(h)``."""
+    place = f"shiftrightunsigned(h, {64 - FILTER_BITS})"
+    return _bits(hashes.selectExpr(f"{place} div 64 as slot", f"shiftleft(1L, cast({place} % 64 as int)) as mask"), _empty())
+
+
+def _empty() -> np.ndarray:
+    return np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+
+
 def mined(docs: DataFrame, least: int, longest: int = LONGEST, proposals: DataFrame | None = None, limit: int = STEP_BYTES) -> DataFrame:
     """(lang, phrase, k, n) of all phrases of ``docs(lang, text)`` with up to ``longest`` words and ``n >= least``; ``k`` is 0 for a language's sum.
 
-    Right whatever ``proposals(lang, phrase)`` says; good ones save passes.
+    Right whatever ``proposals(lang, phrase)`` says; good ones save counting.
     """
-    sc = docs.sparkSession.sparkContext
-    now, old, found = np.zeros(1 << (FILTER_BITS - 6), np.uint64), None, None
-    if proposals is not None:
-        now = bit_table(proposals, now)
-    while True:
-        sent = sc.broadcast((now, old))
+    spark = docs.sparkSession
+
+    def counted(p: Pass | None, hashed: bool = False) -> DataFrame:
+        sent = spark.sparkContext.broadcast(None if p is None else vars(p))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            now, old = sent.value
+            p = None if sent.value is None else Pass(**sent.value)
             for batch in batches:
                 for words, fresh in _slices(batch, longest, limit):
-                    yield from counted(words, fresh, now, old, longest)
+                    yield from singles(words, fresh) if p is None else longer(words, fresh, p, longest, hashed)
 
-        rows = docs.select("text", "lang").mapInArrow(run, "lang string, phrase string, k int, n bigint")
-        rows = rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0))
-        with small_batches(docs.sparkSession, limit):
-            rows, _ = stage(rows, "phrases")
-        found = rows if found is None else found.unionByName(rows)
-        grown = bit_table(rows.where((F.col("k") > 0) & (F.col("k") < longest)), now)
-        if (grown == now).all():  # no border failure: nothing longer or new can be frequent
-            return found
-        now, old = grown, now
+        keys = ["h"] if hashed else ["lang", "phrase"]
+        rows = docs.select("text", "lang").mapInArrow(run, "h bigint, n bigint" if hashed else "lang string, phrase string, n bigint")
+        enough = F.col("n") >= least if hashed else (F.col("n") >= least) | (F.col("phrase") == "")
+        with small_batches(spark, limit):
+            return stage(rows.groupBy(*keys).agg(F.sum("n").alias("n")).where(enough), "phrases")[0]
+
+    words = counted(None)
+    now = bit_table(words.where("phrase <> ''"), _empty())
+    if proposals is not None:
+        now = bit_table(proposals.where("contains(phrase, ' ')"), now)
+    found = counted(Pass(now, None, _hash_table(counted(Pass(now), hashed=True))))
+    grown = bit_table(found, now)
+    every = words.unionByName(found)
+    if longest > 2 and (grown != now).any():  # border failures: what may follow from them hasn't been counted
+        every = every.unionByName(counted(Pass(grown, now)))
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return every.select("lang", "phrase", size.alias("k"), "n")
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE) -> DataFrame:
     """``mined`` over all of ``docs(doc_id, text, lang)``, with the proposals of one document in ``sample``."""
     part = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(sample)) == 0).select("text", "lang")
     part, _ = stage(part, "sample")
-    low = max(2, least // (2 * sample))
-    proposals = mined(part, low, longest).where((F.col("k") > 0) & (F.col("k") < longest))
-    return mined(docs, least, longest, proposals)
+    low = max(2, least // (4 * sample))
+    return mined(docs, least, longest, mined(part, low, longest).where((F.col("k") > 1) & (F.col("k") < longest)))
 
 
 def collocations(counts: DataFrame, report: int = REPORT) -> DataFrame:
@@ -294,4 +333,4 @@ def collocations(counts: DataFrame, report: int = REPORT) -> DataFrame:
     )
     best = scored.groupBy("lang", "phrase", "a", "total").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
     rows = best.select("lang", "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), F.col("total").alias("n"), F.col("b.score").alias("score"))
-    return top(rows, ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()], report)
+    return number_rows(rows, ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]).where(F.col("rank") <= report)
