@@ -325,6 +325,20 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones. Rows without an id are judged together."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """``docs`` without the contaminated ones. Each row is judged by its own text alone, whatever its id, and where it is: nothing is shuffled."""
+    out = docs
+    for rows in blocks(benchmark):
+        index = block(rows)
+        if index is None:
+            continue
+        sent = docs.sparkSession.sparkContext.broadcast(vars(index))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            b = Block(**sent.value)
+            for batch in batches:
+                for part in steps(batch, limit=STEP):
+                    bad = {found[0] for found in regions(*packed(part.column("text")), b)}
+                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_())) if bad else part
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

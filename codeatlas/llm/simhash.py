@@ -103,19 +103,23 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each class: of the least id, then of the least fingerprint; of several such rows one stays.
+    """``docs`` with one row of each class: of the least id, then of the least fingerprint, then of the least other columns.
 
     An id may have rows of different texts: each counts in the class of its own text. Rows without an id come last in
-    their class, so one stays where no row of the class has an id.
+    their class, so one stays where no row of the class has an id. Of rows that are equal in all columns one stays. Columns may have any names.
     """
-    texts = {"_sim_a": F.xxhash64("text"), "_sim_b": F.hash("text")}  # 96 bits tell the texts of an id apart
-    keys = ["doc_id", *texts]
-    marked = docs.withColumns(texts)
-    fps, _ = stage(fingerprints(marked, shingle, tuple(texts)), "simhash")
-    least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", *texts)
+    own = {c: f"_s_in_{i}" for i, c in enumerate(docs.columns)}
+    texts = {"_s_a": F.xxhash64("text"), "_s_b": F.hash("text")}  # 96 bits tell the texts of an id apart
+    plain = lambda c: F.to_json(F.struct(own[c])) if "map<" in docs.schema[c].dataType.simpleString() else F.col(own[c])  # noqa: E731 - maps have no hash
+    others = [plain(c) for c in docs.columns if c not in ("doc_id", "text")]
+    marked = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], "doc_id", "text").withColumns(
+        texts | {"_s_row": F.xxhash64(*others, F.lit(0))})
+    keys = ["doc_id", *texts, "_s_row"]
+    fps, _ = stage(fingerprints(marked, shingle, (*texts, "_s_row")), "simhash")
+    least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", *keys[1:])
     first = _nodes(fps, radius, least).groupBy("root").agg(F.min("least").alias("first"))
     first, _ = stage(first.select(*[f"first.{c}" for c in keys]), "firsts")
     kept = marked.where("doc_id is not null").join(first.where("doc_id is not null"), keys, "left_semi").dropDuplicates(keys)
     alone = first.where("doc_id is null").drop("doc_id")
-    more = marked.where("doc_id is null").dropDuplicates([*texts]).join(alone, [*texts], "left_semi")
-    return kept.unionByName(more).select(*[F.col(f"`{c}`") for c in docs.columns])
+    more = marked.where("doc_id is null").dropDuplicates(keys[1:]).join(alone, keys[1:], "left_semi")
+    return kept.unionByName(more).select(*[F.col(n).alias(c) for c, n in own.items()])
