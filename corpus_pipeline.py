@@ -33,10 +33,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts are encoded, and replaced by what their ids decode to; ``ids`` and ``n_tokens`` are added."""
-    out = bpe.encoded(docs)
-    text = F.when(F.col("text").isNotNull(), F.decode("decoded", "UTF-8"))
-    return out.withColumn("text", text).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).drop("decoded")
+    """Texts are encoded, and replaced by what their ids decode to; ``ids`` and ``n_tokens`` are added, or replaced where they stood."""
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "ids", "n_tokens")}
+    out = bpe.encoded(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], "text"))
+    text = F.when(F.col("text").isNotNull(), F.decode("decoded", "UTF-8")).alias("text")
+    kept = [text if c == "text" else F.col(own[c]).alias(c) for c in docs.columns if c not in ("ids", "n_tokens")]
+    return out.select(*kept, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
 
 STAGES = [
