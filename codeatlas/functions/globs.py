@@ -80,6 +80,18 @@ def matches(rules: list[IgnoreRule], rel: Column, name: Column, is_dir: Column |
     return decision
 
 
+def touched(rules: list[IgnoreRule], dotted: bool) -> str:
+    """One regular expression found in every path that a rule matches, or that has a folder a rule matches; with ``dotted``, also hidden names.
+
+    Most paths hold nothing of the kind, and need no look at their folders one by one.
+    """
+    inner = [r.regex.removeprefix("^").removesuffix("$") for r in rules]
+    named = [body for body, r in zip(inner, rules) if not r.anchored] + [r"\..*"] * dotted
+    rooted = [body for body, r in zip(inner, rules) if r.anchored]
+    forms = [rf"(?:^|/)(?:{'|'.join(named)})(?:/|$)"] * bool(named) + [rf"^(?:{'|'.join(rooted)})(?:/|$)"] * bool(rooted)
+    return "(?s)" + ("|".join(forms) or "(?!)")
+
+
 def rule_side_regex(glob: str) -> str:
     """One side of an architecture rule: a glob from the root, a trailing slash means all below."""
     glob = glob.removeprefix("/")

@@ -3,8 +3,9 @@
 Every folder starts collapsed to a summary. Folders open breadth-first while the text still fits; one
 that doesn't fit stays closed without stopping cheaper ones, and samples, fixtures and vendored code
 wait for what is left. What opening a folder adds is computed for all folders at once; only
-the fit itself is sequential. It runs in rounds over the open folders' children, which the budget
-bounds, never over a whole repository.
+the fit itself is sequential. It runs in rounds over the open folders' children, in order and at most ``AT_ONCE`` of a
+repository at a time; in between, folders that can't fit any more are left out by all tasks, so a repository with any number of
+folders on one level never comes into one task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .tree import folder_summary, folders
 
 # How many files a line names.
 MAX_FILES, MAX_ROOT_FILES = 8, 40
+# Folders of a repository that one task fits at a time.
+AT_ONCE = 4096
 TRUNCATED = "(more folders than the budget holds)\n"
 
 
@@ -60,7 +63,7 @@ def _folder_lines(files: DataFrame) -> DataFrame:
 
 
 def _fit(batch: pd.DataFrame) -> pd.DataFrame:
-    """One repo's round: open folders in order while they fit."""
+    """Some folders of one repo, in order: open them while they fit."""
     batch = batch.sort_values(["round", "key"])
     used, room = int(batch["used"].iloc[0]), int(batch["room"].iloc[0])
     opened = []
@@ -127,20 +130,28 @@ def _rounds(lines: DataFrame, repos: DataFrame) -> DataFrame:
         # A repo takes its own code first; what waits for leftovers goes when nothing else is left.
         busy = waiting.where("not late").select("repo").distinct()
         now = waiting.where("not late").unionByName(waiting.join(busy, "repo", "left_anti"))
-        fitted, _ = checkpoint(
-            now.join(state, "repo").groupBy("repo").applyInPandas(_fit, schema), "octet_length(rel)"
-        )
-        newly = fitted.where("opened").select("repo", "rel", F.concat(F.lpad(F.col("round").cast("string"), 9, "0"), "key").alias("key"))
-        opened = newly if opened is None else opened.unionByName(newly)
-        state = state.join(fitted.groupBy("repo").agg(F.max("used").alias("_u")), "repo", "left").select(
-            "repo", F.coalesce("_u", "used").alias("used"), "room")
-        children = lines.join(newly.select("repo", F.col("rel").alias("dir"), F.col("key").alias("_key")), ["repo", "dir"]).select(
-            "repo", "rel", "delta", F.col("low").alias("late"), F.lit(turn).alias("round"),
-            F.concat_ws("\u0001", "_key", _key()).alias("key"),
-        )
+        children, todo = None, now
+        while True:
+            # What opening others could give back: some folders are shorter open than closed.
+            slack = todo.groupBy("repo").agg(F.sum(F.greatest(-F.col("delta"), F.lit(0))).alias("slack"))
+            able = todo.join(state, "repo").join(slack, "repo").where("delta <= room - used + slack").drop("slack")
+            able, size = checkpoint(able, "octet_length(rel)")
+            if not size["rows"]:
+                break
+            part, _ = checkpoint(top(able, ["repo"], [F.col("round"), F.col("key")], AT_ONCE, "_n").drop("_n"), "octet_length(rel)")
+            fitted, _ = checkpoint(part.groupBy("repo").applyInPandas(_fit, schema), "octet_length(rel)")
+            newly = fitted.where("opened").select("repo", "rel", F.concat(F.lpad(F.col("round").cast("string"), 9, "0"), "key").alias("key"))
+            opened = newly if opened is None else opened.unionByName(newly)
+            state, _ = checkpoint(state.join(fitted.groupBy("repo").agg(F.max("used").alias("_u")), "repo", "left").select(
+                "repo", F.coalesce("_u", "used").alias("used"), "room"), "octet_length(repo)")
+            found = lines.join(newly.select("repo", F.col("rel").alias("dir"), F.col("key").alias("_key")), ["repo", "dir"]).select(
+                "repo", "rel", "delta", F.col("low").alias("late"), F.lit(turn).alias("round"),
+                F.concat_ws("\u0001", "_key", _key()).alias("key"),
+            )
+            children = found if children is None else children.unionByName(found)
+            todo = able.select(*now.columns).join(part.select("repo", "rel"), ["repo", "rel"], "left_anti")
         rest = waiting.join(now.select("repo", "rel"), ["repo", "rel"], "left_anti")
-        waiting, size = checkpoint(rest.unionByName(children), "octet_length(rel)")
-        state, _ = checkpoint(state, "octet_length(repo)")
+        waiting, size = checkpoint(rest if children is None else rest.unionByName(children), "octet_length(rel)")
     if opened is None:
         return waiting.select("repo", "rel")
     return opened.select("repo", "rel")

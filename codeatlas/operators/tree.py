@@ -51,8 +51,9 @@ def mark_hidden(files: DataFrame, options: ScanOptions, visible: DataFrame | Non
     """
     rel = F.col("rel")
     # A walk stops at the first hidden folder, so a later "!" below it can't bring a file back.
-    folder = F.get(F.filter(paths.ancestors(rel), lambda a: _hidden_entry(options, a, True)), 0)
-    own = _hidden_entry(options, rel, False)
+    likely = rel.rlike(globs.touched(options.rules(), not options.show_hidden))
+    folder = F.when(likely, F.get(F.filter(paths.ancestors(rel), lambda a: _hidden_entry(options, a, True)), 0))
+    own = F.when(likely, _hidden_entry(options, rel, False)).otherwise(False)
     if options.only:
         own = own | ~globs.matches(globs.ignore_rules(options.only), rel, paths.base(rel), False)
     if options.since is not None:

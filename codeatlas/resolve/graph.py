@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..extract.imports import import_specs
+from ..functions import paths
 from ..operators.graph import distinct_edges
 from ..operators.tree import ScanOptions, visible_files
 from ..sources.corpus import readable, select_sources
@@ -27,16 +28,21 @@ class CodeGraph:
 
 
 def spec_links(
-    specs: DataFrame, sources: DataFrame, contents: DataFrame, files: DataFrame, langs: set[str] = frozenset(("js", "py", "rs", "java", "kt"))
+    specs: DataFrame, sources: DataFrame, contents: DataFrame, files: DataFrame, langs: set[str] = frozenset(("js", "py", "rs", "java", "kt")),
+    manifests: DataFrame | None = None,
 ) -> DataFrame:
-    """(repo, src, ord, spec, target) of every spec that names a source file; only ``langs`` are planned."""
+    """(repo, src, ord, spec, target) of every spec that names a source file; only ``langs`` are planned.
+
+    ``manifests`` may hold the manifests of ``contents`` by themselves, so their kinds don't each read all texts.
+    """
+    manifests = contents if manifests is None else manifests
     found = specs.sparkSession.createDataFrame([], "repo string, src string, ord int, spec string, target string")
     if "js" in langs:
-        found = found.unionByName(javascript.resolve(specs, sources, contents))
+        found = found.unionByName(javascript.resolve(specs, sources, contents, manifests))
     if "py" in langs:
         found = found.unionByName(python.resolve(specs, sources, contents, files))
     if "rs" in langs:
-        found = found.unionByName(rust.resolve(specs, sources, contents))
+        found = found.unionByName(rust.resolve(specs, sources, manifests))
     if langs & {"java", "kt"}:
         found = found.unionByName(jvm.resolve(specs, sources))
     return found
@@ -61,9 +67,12 @@ def build(
         import_specs(own), "specs", **{k: F.expr(f"count_if(lang = '{k}')") for k in ("js", "py", "rs", "java", "kt")}
     )
     langs = {k for k, rows in by_lang.items() if rows and k != "rows"}
-    links, _ = stage(spec_links(specs, sources, texts, files, langs), "links")
+    manifests = texts
+    if len(langs & {"js", "rs"}) + bool(n["go"]) > 1:  # several kinds are asked for: one pass over the texts takes them all out
+        manifests, _ = stage(texts.where(paths.base(F.col("rel")).isin("go.mod", "package.json", "Cargo.toml")), "manifests")
+    links, _ = stage(spec_links(specs, sources, texts, files, langs, manifests), "links")
     edges = links.select("repo", "src", F.col("target").alias("dst"))
-    go = golang.tables(own, sources, texts) if n["go"] else None
+    go = golang.tables(own, sources, manifests) if n["go"] else None
     if go is not None:
         edges = edges.unionByName(golang.edges(go).select("repo", "src", "dst"))
     return CodeGraph(sources, stage(distinct_edges(edges), "edges")[0], specs, links, go)
@@ -84,7 +93,6 @@ def all_symbols(contents: DataFrame, graph: CodeGraph | None = None) -> DataFram
 def declarations(graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
     """Go declarations (repo, dir, file, name) and references (repo, dir, file, name, ref), for impact."""
     from ..extract import golang as go
-    from ..functions import paths
 
     decls = go.names(graph.go.facts).select(
         "repo", paths.parent(F.col("rel")).alias("dir"), F.col("rel").alias("file"),

@@ -26,18 +26,10 @@ def probe_candidates(base: Column) -> Column:
     ))
 
 
-def configs(contents: DataFrame, packages: DataFrame) -> DataFrame:
-    """(repo, at, base_url, base, paths): each folder's config with what it inherits.
-
-    A config takes unset settings from the last parent it can read, and so on up the chain; every
-    setting stays relative to the file that set it.
-    """
-    every, _ = stage(ts_configs(contents), "js-configs")
-    named = packages.where("name <> ''").groupBy("repo", F.col("name").alias("key")).agg(
-        F.min_by("at", paths.walk_key(F.col("rel"))).alias("pkg_dir")
-    )
+def _parents(configs_: DataFrame, named: DataFrame) -> DataFrame:
+    """(repo, rel, i, up): the files each config names as parents, in order; ``named(repo, key, pkg_dir)`` are the packages."""
     with_json = lambda c: F.when(c.endswith(".json"), c).otherwise(F.concat(c, F.lit(".json")))
-    asked = every.select("repo", "rel", F.posexplode("extends").alias("i", "ext"))
+    asked = configs_.select("repo", "rel", F.posexplode("extends").alias("i", "ext"))
     relative = asked.where(F.col("ext").startswith(".")).select(
         "repo", "rel", "i", with_json(paths.join(paths.parent(F.col("rel")), F.col("ext"))).alias("up")
     )
@@ -47,14 +39,35 @@ def configs(contents: DataFrame, packages: DataFrame) -> DataFrame:
         "repo", "rel", "i", F.when(rest == "", paths.join(F.col("pkg_dir"), F.lit("tsconfig.json"))).otherwise(
             with_json(paths.join(F.col("pkg_dir"), rest))).alias("up")
     )
+    return relative.unionByName(packaged)
+
+
+def configs(contents: DataFrame, packages: DataFrame) -> DataFrame:
+    """(repo, at, base_url, base, paths): each folder's config with what it inherits.
+
+    A config takes unset settings from the last parent it can read, and so on up the chain; every
+    setting stays relative to the file that set it.
+    """
+    named = packages.where("name <> ''").groupBy("repo", F.col("name").alias("key")).agg(
+        F.min_by("at", paths.walk_key(F.col("rel"))).alias("pkg_dir")
+    )
+    name = paths.base(F.col("rel"))
+    wanted = contents.where(name.isin("tsconfig.json", "jsconfig.json")).select("repo", "rel")
+    every, asked = None, None
+    while True:  # only configs and what they inherit from are parsed, a generation at a time
+        texts = contents.where(F.col("rel").endswith(".json")).join(wanted, ["repo", "rel"], "left_semi")
+        found, size = stage(ts_configs(texts), "js-configs")
+        every, asked = (found, _parents(found, named)) if every is None else (every.unionByName(found), asked.unionByName(_parents(found, named)))
+        if not size["rows"]:
+            break
+        wanted = _parents(found, named).select("repo", F.col("up").alias("rel")).distinct().join(every.select("repo", "rel"), ["repo", "rel"], "left_anti")
     readable = every.select("repo", F.col("rel").alias("up"))
-    parent = relative.unionByName(packaged).join(readable, ["repo", "up"], "left_semi").groupBy("repo", "rel").agg(F.max_by("up", "i").alias("up"))
+    parent = asked.join(readable, ["repo", "up"], "left_semi").groupBy("repo", "rel").agg(F.max_by("up", "i").alias("up"))
     own = every.select(
         "repo", F.col("rel").alias("at_file"),
         F.when(F.col("base_url").isNotNull(), paths.join(paths.parent(F.col("rel")), F.col("base_url"))).alias("base_url"),
         F.when(F.col("paths").isNotNull(), F.struct(paths.parent(F.col("rel")).alias("dir"), F.map_entries("paths").alias("entries"))).alias("paths"),
     )
-    name = paths.base(F.col("rel"))
     frontier, size = checkpoint(
         every.where(name.isin("tsconfig.json", "jsconfig.json")).select("repo", "rel", F.col("rel").alias("at_file"), F.array("rel").alias("trail")),
         "octet_length(rel)",
@@ -179,8 +192,11 @@ def _first_base(bases: DataFrame, sources: DataFrame, keys: list[str], order: li
     return bases.join(probed, ["repo", "base"]).groupBy(*keys).agg(F.min_by("target", F.struct(*order)).alias("target"))
 
 
-def resolve(specs: DataFrame, sources: DataFrame, contents: DataFrame) -> DataFrame:
-    """Links of JavaScript and TypeScript specs. Corpora without configs or packages skip those joins."""
+def resolve(specs: DataFrame, sources: DataFrame, contents: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
+    """Links of JavaScript and TypeScript specs. Corpora without configs or packages skip those joins.
+
+    ``manifests`` may hold the package files of ``contents`` by themselves.
+    """
     keys = ["repo", "dir", "spec"]
     asked, n = stage(
         specs.where("lang = 'js'").select(*keys).distinct(), "js-asked",
@@ -192,7 +208,7 @@ def resolve(specs: DataFrame, sources: DataFrame, contents: DataFrame) -> DataFr
     if not (n["hashed"] or n["bare"]):
         return links(specs.where("lang = 'js'"), _first_base(bases, sources, keys, ["o", "i"]), ["dir", "spec"])
 
-    packages, p = stage(js_packages(contents), "js-packages")
+    packages, p = stage(js_packages(contents if manifests is None else manifests), "js-packages")
     bare = asked.where(~F.col("spec").rlike(r"\A[.#]"))
     if n["hashed"] and p["rows"]:
         mapped = _hash_targets(asked.where(F.col("spec").startswith("#")), packages)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeatlas import storage
 from codeatlas.operators import graph, ranking, tree
+from codeatlas.operators import structure as structure_module
 from codeatlas.operators.structure import TRUNCATED, structure
 
 
@@ -183,7 +184,9 @@ def plain_structure(rels, tokens):
     return out + (TRUNCATED if len(out.encode()) > room else "")
 
 
-def test_structure_against_a_plain_walk(spark):
+@pytest.mark.parametrize("at_once", [4096, 3])
+def test_structure_against_a_plain_walk(spark, monkeypatch, at_once):
+    monkeypatch.setattr(structure_module, "AT_ONCE", at_once)
     words = ["a", "b", "core", "tests", "examples", "x-y", "z"]
     repos, budgets = {}, {}
     for seed in range(4):
