@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from codeatlas.extract import imports
 from codeatlas.plans import views
-from codeatlas.resolve import javascript
+from codeatlas.resolve import graph as code_graph
+from codeatlas.resolve import javascript, python
 
 from .corpora import contents
 
@@ -55,3 +56,16 @@ def test_asked_repository_alone_is_written(spark, tmp_path):
     for repo in ("js", "py", "java", "rs", "go"):
         alone = {(r.repo, r.rel, r.content) for r in views.code(spark, str(tmp_path), repo).collect()}
         assert alone == {r for r in every if r[0] == repo} and alone
+
+
+def test_python_folders_without_the_first_part_are_not_tried(spark, monkeypatch):
+    uses = {f"p/q/r{i}/use.py": "import kit.part.one\nimport kit.two\nimport lone\n" for i in range(5)}
+    files = {"kit/part/one.py": "", "kit/two/__init__.py": "", "p/lone.py": "", "p/q/r1/src/kit/two.py": "", **uses}
+    seen = []
+    real = python.first_existing
+    monkeypatch.setattr(python, "first_existing", lambda c, keys, s: (seen.append(c.select(F.explode("cands")).count()), real(c, keys, s))[1])
+    edges = {(r.src, r.dst) for r in code_graph.build(contents(spark, {"r": files})).edges.collect()}
+    want = {(u, "kit/part/one.py") for u in uses} | {(u, "p/lone.py") for u in uses}
+    want |= {(u, "p/q/r1/src/kit/two.py" if "/r1/" in u else "kit/two/__init__.py") for u in uses}
+    assert edges == want
+    assert max(seen) < 5 * 3 * 16  # every name in every folder above would be 5 * 16 * (3 whole names and 2 heads)
