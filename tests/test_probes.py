@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeatlas.extract import imports
 from codeatlas.plans import views
 from codeatlas.resolve import graph as code_graph
-from codeatlas.resolve import javascript, python
+from codeatlas.resolve import javascript, python, rust
 
 from .corpora import contents
 
@@ -58,6 +58,17 @@ def test_asked_repository_alone_is_written(spark, tmp_path):
         assert alone == {r for r in every if r[0] == repo} and alone
 
 
+def test_rust_modules_of_many_users(spark, monkeypatch):
+    uses = {f"src/use{i}.rs": "use crate::a::b::f;\nfn x() { crate::a::b::g(1); }\n" for i in range(20)}
+    files = {"src/lib.rs": "mod a;\n", "src/a.rs": "", "src/a/b.rs": "", "src/a/mod.rs": "", **uses}
+    seen = []
+    real = rust.first_existing
+    monkeypatch.setattr(rust, "first_existing", lambda c, keys, s: (seen.append(c.select(F.explode("cands")).count()), real(c, keys, s))[1])
+    edges = {(r.src, r.dst) for r in code_graph.build(contents(spark, {"r": files})).edges.collect()}
+    assert edges == {("src/lib.rs", "src/a.rs")} | {(u, "src/a/b.rs") for u in uses}
+    assert sum(seen) < 40  # one user's candidates and those of one declaration, not twenty users'
+
+
 def test_python_folders_without_the_first_part_are_not_tried(spark, monkeypatch):
     uses = {f"p/q/r{i}/use.py": "import kit.part.one\nimport kit.two\nimport lone\n" for i in range(5)}
     files = {"kit/part/one.py": "", "kit/two/__init__.py": "", "p/lone.py": "", "p/q/r1/src/kit/two.py": "", **uses}
