@@ -251,6 +251,20 @@ def test_toxicity(spark, docs):
     assert not any(r.flagged for r in toxicity.flagged(toxicity.score(docs, None, base), None).collect())
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Neither long texts nor many rows are left out, and the rows of several tasks make one model."""
+    monkeypatch.setattr(toxicity, "OWN_ROWS", 40, raising=False)
+    toxic = lambda i: i % 3 == 0
+    rows = [(i, (prose(i, 40) + " Vileness. " + prose(i + 1, 6000)) if toxic(i) else prose(i, 40)) for i in range(240)]
+    assert all(len(t) > 32_000 for i, t in rows if toxic(i))
+    rows += [(1000, prose(7) + " vileness " + prose(8)), (1001, prose(7) + " " + prose(8))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' as lang").repartition(4)
+    marks = spark.createDataFrame([(i, int(toxic(i))) for i in range(240)], "doc_id bigint, toxic int")
+    model, base = toxicity.fit(df, marks)
+    got = {r.doc_id: r.score for r in toxicity.score(df, model, base).collect()}
+    assert model is not None and got[1000] > 0.3 > got[1001]
+
+
 # ---- 4: quality rules --------------------------------------------------------------------
 
 
