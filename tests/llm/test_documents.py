@@ -251,6 +251,20 @@ def test_toxicity(spark, docs):
     assert not any(r.flagged for r in toxicity.flagged(toxicity.score(docs, None, base), None).collect())
 
 
+def test_toxicity_meets_its_labels_alike_at_any_size(spark, monkeypatch, tmp_path):
+    plans, write = {}, toxicity.stage
+
+    def seen(df, label, **metrics):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, **metrics)
+
+    monkeypatch.setattr(toxicity, "stage", seen)
+    spark.createDataFrame([(i, f"word{i}", "en") for i in range(40)], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels")
+    toxicity.fit(spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/labels"))  # files have a size, by which a join is planned
+    assert "SortMergeJoin" in plans["toxicity-rows"] and "Broadcast" not in plans["toxicity-rows"]
+
+
 def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     """Neither long texts nor many rows are left out, and the rows of several tasks make one model."""
     monkeypatch.setattr(toxicity, "OWN_ROWS", 40, raising=False)
