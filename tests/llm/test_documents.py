@@ -481,6 +481,37 @@ def test_suffix_tree_is_a_distribution(spark):
         assert math.isclose(suffix_tree.text_scores([text], tree, states)[0], total, abs_tol=1e-3)
 
 
+def test_suffix_tree_tells_all_bytes_apart(spark):
+    table = suffix_tree.symbols(np.arange(256)[::-1])
+    assert len(set(table.tolist())) == 256
+    for text in (bytes(range(256)), b"", b"\xff\x00\xfe", b"ab"):
+        sym, starts = suffix_tree._laid_out([text, text], table)
+        half = sym[suffix_tree.DEPTH:starts[1]].tolist()
+        back, symbols = [], iter(half[:-1])
+        for s in symbols:
+            back.append(table.tolist().index(s if s < suffix_tree.PLAIN else s << suffix_tree.SIX | next(symbols)))
+        assert bytes(back) == text and half[-1] == suffix_tree.END and sym[starts[1] + suffix_tree.DEPTH:].tolist() == half
+    # Two letters that were one symbol: one follows the other always, which the tree learns.
+    common = "".join(map(chr, range(0x21, 0x7F)))
+    rows = [(i, common + " " + common + " \u0416\u0424") for i in range(60)]
+    learned = [(1000, "\u0416\u0424"), (1001, "\u0424\u0416")]
+    df = spark.createDataFrame(rows + learned, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.learned_scores(df).collect()}
+    assert got[1000] > got[1001] + 0.5
+
+
+def test_suffix_tree_keeps_contexts_beyond_its_states(spark, monkeypatch):
+    rows = [(i, prose(i, 40) + " \u0416\u0424"[: 3 * (i % 2)]) for i in range(100)] + [(500, ""), (501, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = {r.doc_id: r.score for r in suffix_tree.learned_scores(df).collect()}
+    whole = suffix_tree.fit(suffix_tree.training(df))
+    for states in (0, 40, 400):
+        monkeypatch.setattr(suffix_tree, "STATES", states)
+        assert sum(map(len, suffix_tree.fit(suffix_tree.training(df)).contexts)) < sum(map(len, whole.contexts))
+        got = {r.doc_id: r.score for r in suffix_tree.learned_scores(df).collect()}
+        assert got.keys() == wanted.keys() and all(math.isclose(got[k], wanted[k], rel_tol=1e-5) for k in got)
+
+
 # ---- 10: byte BPE ------------------------------------------------------------------------
 
 
