@@ -13,11 +13,12 @@ def churn(touches: DataFrame, since=None) -> DataFrame:
     """Commits per path and per folder above it; a path counts once a commit.
 
     Touches are reduced to one per commit and file before folders are added, and again per
-    commit and folder, so a busy root is spread over the commits, never over one key.
+    commit and folder, so a busy root is spread over the commits, never over one key. They meet before they are
+    reduced: what a task holds is bounded by the size of a shuffled partition, not by that of a piece of the input.
     """
     if since is not None:
         touches = touches.where(F.col("ts") >= F.lit(since))
-    leaf = touches.select("repo", "commit_id", "path").distinct()
+    leaf = touches.select("repo", "commit_id", "path").repartition("commit_id", "path").distinct()
     files = leaf.withColumn("is_dir", F.lit(False))
     dirs = (
         leaf.select("repo", "commit_id", paths.parent(F.col("path")).alias("_own")).where("_own <> '.'").distinct()

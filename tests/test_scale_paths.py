@@ -1,6 +1,7 @@
 """The ways taken for large or skewed input give the same rows as the small ones."""
 
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeatlas import storage
-from codeatlas.operators import graph, ranking, tree
+from codeatlas.operators import churn, graph, ranking, tree
 from codeatlas.operators import structure as structure_module
 from codeatlas.operators.structure import TRUNCATED, structure
 
@@ -200,3 +201,16 @@ def test_structure_against_a_plain_walk(spark, monkeypatch, at_once):
     got = {r.repo: r.text for r in structure(files, tokens).collect()}
     for k, rels in repos.items():
         assert got[k] == plain_structure(rels, budgets[k]), k
+
+
+def test_churn_holds_touches_only_after_they_met(spark):
+    """No map of touches is filled in the tasks that read them: these grow with the pieces of the input."""
+    touches = spark.range(100).selectExpr("concat('r', id % 2) as repo", "id % 9 as commit_id", "timestamp'2020-01-01' as ts", "concat('a/b', id % 4, '/f', id % 7) as path")
+    counts = churn.churn(touches)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    above = [part.split("Range (")[0] for part in re.split(r"Exchange hashpartitioning\((?:repo#\d+, )?commit_id#\d+L?, path#\d+,", plan)[1:] if "Range (" in part]
+    assert above and all("Aggregate" not in part for part in above)
+    rows = {(f"r{i % 2}", i % 9, f"a/b{i % 4}/f{i % 7}") for i in range(100)}
+    got = {(r.repo, r.path): r.commits for r in counts.collect()}
+    assert all(got[repo, path] == sum((repo, c, path) in rows for c in range(9)) for repo, _, path in rows)
+    assert got["r0", "a"] == len({c for repo, c, _ in rows if repo == "r0"})
