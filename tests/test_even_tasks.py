@@ -52,3 +52,14 @@ def test_facts_as_columns():
     rows = [{"repo": o, "rel": r, **go.facts(t or "")} for o, r, t in zip(*(batch.column(c).to_pylist() for c in ("repo", "rel", "content")))]
     out = pa.Table.from_batches(list(go._run(iter([batch]))))
     assert out.to_pylist() == rows and out.schema.equals(go._ARROW) and go._lists(rows, go._ARROW.field("refs")).to_pylist() == [r["refs"] for r in rows]
+
+
+def test_a_place_among_candidates_without_making_them(spark):
+    stems = ["a", "a.js", "a.mjs", "a.d", "a/index", "index", "a.b.c", "", "a.", ".x", "é.jsx", "a/b.ts", "a/index.ts"]
+    every = sorted({t + e for t in [*stems, "é", "a/b"] for e in ("", "x", ".TS", "/index", *javascript.EXTS, *["/index" + e for e in javascript.EXTS])})
+    pairs = spark.createDataFrame([(b, r) for b in [*stems, None] for r in [*every, None]], "base string, rel string")
+    base, rel = F.col("base"), F.col("rel")
+    rows = pairs.select("base", "rel", F.nullif(F.array_position(javascript.probe_candidates(base), rel), F.lit(0)).alias("want"), javascript._position(base, rel).alias("got"),
+                        (javascript._core(rel) == F.regexp_replace(rel, javascript._CORE_END, "")).alias("core")).collect()
+    assert [r for r in rows if r.want != r.got or r.core is False] == [] and len({r.want for r in rows}) == 23
+    assert "_position" in javascript._first_base.__code__.co_names
