@@ -14,6 +14,8 @@ Levels are the branches on a path, not characters, so long words don't lengthen
 square of a word's length. Nodes with over a thousandth of all words below them are under a thousand a level, and are met by broadcast; all others by
 a shuffle. Every level is written to the shared folder. Nothing is capped.
 
+All other joins are told to shuffle: Spark sizes what an explode makes by the bytes before it, so it would broadcast every prefix of every word.
+
 Nulls: a null text has no words, a null ``doc_id`` counts as empty text. Repeated rows count as often as they occur. Ties of the form go to the least word in code-point
 order. Other columns of the documents aren't read. An empty table gives no rows.
 """
@@ -49,6 +51,11 @@ def vocabulary(words: DataFrame, occurs: int = OCCURS) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= occurs)
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side whose join is never a broadcast, whatever Spark takes its size for."""
+    return df.hint("merge")
+
+
 def trie(words: DataFrame, total: int) -> DataFrame:
     """Edges of the tries of ``words(word, n)``, forward (side 0) and backward (side 1), by level; written.
 
@@ -67,7 +74,7 @@ def trie(words: DataFrame, total: int) -> DataFrame:
         .where("d = 0 or low = '' or low <> high").select("node", (F.col("below") * HOT_SHARE > total).alias("hot"))
     )
     paths = (
-        prefixes.join(kept, "node").groupBy("side", "text", "word", "n")
+        prefixes.join(_shuffled(kept), "node").groupBy("side", "text", "word", "n")
         .agg(F.array_sort(F.collect_list(F.struct("d", "node", "hot"))).alias("path"))  # as long as the word at most
     )
     hops = F.expr(
@@ -82,14 +89,14 @@ def trie(words: DataFrame, total: int) -> DataFrame:
     )
     edges, _ = stage(edges, "trie")
     after = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set("ch"), "").alias("next"))
-    return stage(edges.join(after, "child", "left"), "edges")[0]
+    return stage(edges.join(_shuffled(after), "child", "left"), "edges")[0]
 
 
 def _met(states: DataFrame, edges: DataFrame, on: list[str]) -> DataFrame:
     """States and the edges of their nodes: hot nodes, fewer than HOT_SHARE a level, by broadcast, others by a shuffle."""
     part = lambda hot: (states.where(F.col("hot") == hot).drop("hot"), edges.where(F.col("hot") == hot).drop("hot"))
     (hot, hot_edges), (cold, cold_edges) = part(True), part(False)
-    return hot.join(F.broadcast(hot_edges), on).unionByName(cold.join(cold_edges, on))
+    return hot.join(F.broadcast(hot_edges), on).unionByName(cold.join(_shuffled(cold_edges), on))
 
 
 _REST = "substring(text, pos + 1)"
@@ -151,7 +158,7 @@ def roots(forms: DataFrame) -> DataFrame:
     ways, _ = stage(forms.select("word", F.col("form").alias("root")), "ways")
     while True:
         on = ways.select(F.col("word").alias("root"), F.col("root").alias("_further"))
-        longer = ways.join(on, "root", "left").select("word", F.coalesce("_further", "root").alias("root"), F.col("_further").isNotNull().alias("moved"))
+        longer = ways.join(_shuffled(on), "root", "left").select("word", F.coalesce("_further", "root").alias("root"), F.col("_further").isNotNull().alias("moved"))
         longer, seen = stage(longer, "ways", moved=F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)))
         ways = longer.drop("moved")
         if not seen["moved"]:
@@ -164,11 +171,11 @@ def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     near = neighbours(words).groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best")
     )
-    form = words.join(near, "word", "left").withColumn("frequent", -F.col("best.less") >= times * F.col("n")).select(
+    form = words.join(_shuffled(near), "word", "left").withColumn("frequent", -F.col("best.less") >= times * F.col("n")).select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("frequent"), F.col("best.other")).alias("form"),
         F.when(F.col("frequent"), -F.col("best.less")).alias("form_n"),
     )
     form, _ = stage(form, "forms")
-    return form.join(roots(form.where("form is not null").select("word", "form")), "word", "left").select(
+    return form.join(_shuffled(roots(form.where("form is not null").select("word", "form"))), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

@@ -119,6 +119,27 @@ def test_no_words(spark):
     assert found(spelling.variants(lone)) == {("garden", None, "garden", 7, 0, None)}
 
 
+def test_exploded_tables_are_never_broadcast(spark, monkeypatch):
+    """The prefixes of a small vocabulary look as small as its words."""
+    plans, stage = {}, spelling.stage
+
+    def seen(df, label, *args, **metrics):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label, *args, **metrics)
+
+    monkeypatch.setattr(spelling, "stage", seen)
+    words = {"garden": 90, "gardan": 3, "gardann": 1, "harbour": 40, "harbor": 7}
+    df = spark.createDataFrame([*words.items()], "word string, n long")
+    result = spelling.variants(df)
+    assert found(result) == plain_variants(words)
+    plans["result"] = [result._jdf.queryExecution().executedPlan().toString()]
+    met = [p for label in ("trie", "edges", "forms", "ways", "result") for p in plans[label]]
+    assert len(met) >= 5 and not [p for p in met if "BroadcastHashJoin" in p]
+    # A step broadcasts the edges of hot nodes, once for states that follow and once for those that branch.
+    assert len(plans["frontier"]) > 1 and all(p.count("BroadcastHashJoin") <= 2 for p in plans["frontier"])
+    assert all(p.count("SortMergeJoin") == 2 for p in plans["frontier"][1:])  # at the root all states are hot
+
+
 # ---- phrases -------------------------------------------------------------------------------
 
 
