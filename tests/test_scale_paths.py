@@ -39,6 +39,26 @@ def plain_bfs(edges, seeds, names, tests=(), no_tests=False, depth=None):
     return out
 
 
+@pytest.mark.parametrize("parents", [True, False])
+def test_starts_are_asked_for_once(spark, monkeypatch, parents):
+    """Starts may come from a long query; paths are laid out only for a walk that reports parents."""
+    columns, stage = {}, graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, label, *a, **m: columns.setdefault(label, df.columns) and stage(df, label, *a, **m))
+    files, rows = make_graph(spark, [(i + 1, i) for i in range(6)], 8)
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            asked.add(batch.num_rows)
+            yield batch
+
+    starts = spark.createDataFrame([("r", "x", 0), ("r", "y", 4)], "repo string, start string, id bigint").mapInArrow(counted, "repo string, start string, id bigint")
+    got = {(r.start, r.id): (r.depth, r.rel) for r in graph.reach(rows, files, starts, reverse=True, parents=parents).collect()}
+    assert got == {(s, i): (i - a, f"d{i % 3}/f{i:03}.ts") for s, a in (("x", 0), ("y", 4)) for i in range(a + 1, 7)}
+    assert asked.value == 2 and ("next_rel" in columns["neighbours"]) == parents
+
+
+
 def reach_rows(df):
     return {r.id: (r.depth, r.via) for r in df.collect()}
 
