@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeatlas.extract import golang as go
-from codeatlas.plans import projects, views
+from codeatlas.plans import catalog, projects, views
 from codeatlas.resolve import golang, javascript
 from codeatlas.resolve import graph as code_graph
 from codeatlas.streaming import incremental
@@ -90,3 +90,12 @@ def test_users_of_moved_names_meet_the_names_first(spark):
     assert sorted(r.src for r in found.collect()) == ["a/y.go", "b/z.go"]
     # No more than the users of a moved name go on to meet the files.
     assert found._jdf.queryExecution().analyzed().toString().count("LeftSemi") >= 8
+
+
+def test_specs_of_a_file_travel_together(spark, tmp_path):
+    _tables(spark, tmp_path, 30)
+    found = catalog.QUERIES["code_specs"](spark, str(tmp_path))
+    rows = {(r.repo, r.src, r.spec): r.n for r in found.collect()}
+    assert len(rows) == found.count() and sum(rows.values()) > len(rows) >= 30 * 10  # a Rust file asks for one module twice
+    shuffles = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
+    assert shuffles and "spec#" not in "".join(shuffles)
