@@ -177,6 +177,18 @@ def test_impact_of_many_declarations(spark):
         ("a/a.go", False, 1, "in T.Run"), ("a/b.go", False, 2, "in Twice"), ("a/a_test.go", True, 2, "in TestTwice"), ("use/u.go", False, 2, "uses Twice"), ("top/t.go", False, 2, None)}
 
 
+def test_links_between_names_are_made_once(spark, monkeypatch):
+    """A traversal reads its links and nodes several times: they are tables, not joins."""
+    given, reach = [], declarations.reach
+    monkeypatch.setattr(declarations, "reach", lambda edges, nodes, *a, **k: given.extend((edges, nodes)) or reach(edges, nodes, *a, **k))
+    decls = spark.createDataFrame([("r", "a", "a/x.go", n) for n in ("F", "G", "H", "T.m")], "repo string, dir string, file string, name string")
+    refs = spark.createDataFrame(
+        [("r", "a", "a/x.go", n, ref) for n, ref in (("G", "F"), ("H", ".m"), ("T.m", "G"))], "repo string, dir string, file string, name string, ref string")
+    seeds = spark.createDataFrame([("r", "a", "F")], "repo string, dir string, name string")
+    assert {r.name for r in declarations.reaching(decls, refs, seeds).collect()} == {"F", "G", "T.m", "H"}
+    assert len(given) == 2 and not [df for df in given if re.search("Join|Aggregate|Union", df._jdf.queryExecution().optimizedPlan().toString())]
+
+
 def test_mentions_of_many_words(spark):
     texts = contents(spark, {"r": {
         "a.ts": "export const one = 1, two = 2;\n", "b.ts": "import { one } from './a';\n", "c.ts": "import { two } from './a';\nconst t = one$two;\n",
